@@ -74,19 +74,23 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def default_rules() -> list[tuple[str, Column, Column]]:
-    """(name, votes bad, votes good); neither: the rule abstains."""
+    """(name, votes bad, votes good); neither: the rule abstains. The absence of a defect is no vote for good, except
+    where most good texts are alike in it; each kind of defect shows in more than one rule, which EM needs."""
     c = F.col
-    per_word = lambda x, n: 100 * c(x) > n * c("n_words")
+    per_word = lambda x, n: 100 * x > n * c("n_words")
+    marks = c("word_chars") - c("n_letters") - c("n_digits")
+    never = F.lit(None).cast("boolean")
     return [
         ("length", c("n_words") < 50, c("n_words") >= 100),
-        ("repetition", per_word("n_repeat_words", 30), ~per_word("n_repeat_words", 10)),
-        ("symbols", per_word("n_symbols", 30), ~per_word("n_symbols", 5)),
-        ("word_length", (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 14 * c("n_words")), c("word_chars").between(3 * c("n_words"), 10 * c("n_words"))),
-        ("upper_case", 100 * c("n_upper") > 40 * c("n_letters"), 100 * c("n_upper") < 15 * c("n_letters")),
-        ("letters", 100 * c("n_letters") < 60 * c("word_chars"), 100 * c("n_letters") > 80 * c("word_chars")),
-        ("digits", 100 * c("n_digits") > 20 * c("word_chars"), 100 * c("n_digits") < 5 * c("word_chars")),
-        ("lines", c("n_dup_lines") > 2, F.lit(None).cast("boolean")),
-        ("variety", 100 * c("n_distinct") < 15 * c("n_words"), 100 * c("n_distinct") > 35 * c("n_words")),
+        ("repetition", per_word(c("n_repeat_words"), 30), never),
+        ("symbols", per_word(c("n_symbols"), 20), never),
+        ("marks", per_word(marks, 45), ~per_word(marks, 30)),
+        ("letters", 100 * c("n_letters") < 88 * c("word_chars"), 100 * c("n_letters") > 93 * c("word_chars")),
+        ("word_length", (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 14 * c("n_words")), never),
+        ("upper_case", 100 * c("n_upper") > 30 * c("n_letters"), never),
+        ("digits", 100 * c("n_digits") > 20 * c("word_chars"), never),
+        ("lines", c("n_dup_lines") > 2, never),
+        ("variety", 100 * c("n_distinct") < 20 * c("n_words"), 100 * c("n_distinct") > 40 * c("n_words")),
     ]
 
 

@@ -16,6 +16,37 @@ def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=LENGTH).drop("kept")
 
 
+def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_lattice import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), class_col="lang")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_tree import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    f = judge(table(spark, sf_dir, "documents"))
+    return f.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify_documents
+
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
