@@ -86,10 +86,9 @@ def _segment(path: str, classes: int):
                 for i in own:
                     counts[k].update(ids[i])
                 counts[k][STOP] += len(own)
-        cols = zip(*((k, i, n) for k, c in enumerate(counts) for i, n in c.items()), strict=True)
+        cols = list(zip(*((k, i, n) for k, c in enumerate(counts) for i, n in c.items()), strict=True)) or [()] * 3
         kinds = (pa.int32(), pa.int64(), pa.int64())
-        arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)] or [pa.nulls(0, t) for t in kinds]
-        yield pa.RecordBatch.from_arrays(arrays, ["k", "piece", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["k", "piece", "n"])
 
     return run
 
