@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE = 1 << 21
+SLICE = 1 << 20
+BATCH_BYTES = 8 << 20  # of the Arrow batches that tasks exchange with Python
 BROADCAST_IDS = 2_000_000  # 64-bit ids that may be broadcast; above it the same join shuffles
 MISSING = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -25,6 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts by size too, so that long texts do not make large batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def process_cache() -> dict:
     """A cache of this Python process. Module globals would not do: functions travel by value, one copy a task."""
     return sys.__dict__.setdefault("_tuplequarry_cache", {})

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Words, as_bytes, components, cut, int64, keep_ids, mix, slices
+from .common import SPACE, Words, as_bytes, bound_batches, components, cut, int64, keep_ids, mix, slices
 
 SHINGLE, PERCENT = 5, 75
 WIDTH, ROWS, CELLS = 1 << 20, 2, 1 << 14  # of the frequency sketch: counters in a row, rows, counters in a block
@@ -38,27 +38,34 @@ SALT = 2000  # pairs of one leader that a salt gets
 
 
 def sets_of(docs: list[bytes], shingle: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each document."""
+    """The sorted distinct shingle hashes of each document of a slice."""
     out: list[np.ndarray] = []
-    for i, j in slices(docs):
-        w = Words(docs[i:j], SPACE, True)
-        g = w.grams(shingle)
-        for a, b in zip(w.first.tolist(), w.last.tolist(), strict=True):
-            if b - a >= shingle:
-                x = np.sort(g[a : b - shingle + 1])
-                keep = np.ones(len(x), bool)
-                np.not_equal(x[1:], x[:-1], out=keep[1:])
-                out.append(x[keep])
-            elif b > a:
-                h = np.uint64(b - a)
-                for y in w.hash[a:b]:
-                    h = mix(np.array([h]), y)[0]
-                out.append(np.array([h], np.uint64))
-            else:
-                out.append(np.zeros(0, np.uint64))
+    w = Words(docs, SPACE, True)
+    g = w.grams(shingle)
+    for a, b in zip(w.first.tolist(), w.last.tolist(), strict=True):
+        if b - a >= shingle:
+            x = np.sort(g[a : b - shingle + 1])
+            keep = np.ones(len(x), bool)
+            np.not_equal(x[1:], x[:-1], out=keep[1:])
+            out.append(x[keep])
+        elif b > a:
+            h = np.uint64(b - a)
+            for y in w.hash[a:b]:
+                h = mix(np.array([h]), y)[0]
+            out.append(np.array([h], np.uint64))
+        else:
+            out.append(np.zeros(0, np.uint64))
     return out
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, list[bytes]]]:
+    """Slices of each batch's documents: the sets of a whole batch would take too much memory."""
+    for b in batches:
+        docs = as_bytes(b["b"])
+        for i, j in slices(docs):
+            yield b, i, j, docs[i:j]
+
+
 def _cells(x: np.ndarray) -> list[np.ndarray]:
     return [(mix(x, np.uint64(101 + r)) >> np.uint64(64 - WIDTH.bit_length() + 1)).astype(np.int64) for r in range(ROWS)]
 
@@ -77,15 +84,15 @@ def _summaries(shingle: int):
                 waiting.clear()
 
         names = ["kind", "id", "n", "s1", "s2", "cells"]
-        for b in batches:
-            sets = sets_of(as_bytes(b["b"]), shingle)
+        for b, i, j, docs in _sliced(batches):
+            sets = sets_of(docs, shingle)
             waiting += sets
-            if sum(map(len, waiting)) > 1 << 21:
+            if sum(map(len, waiting)) > 1 << 20:
                 add()
             n = np.fromiter(map(len, sets), np.int64, len(sets))
             s1 = np.array([mix(x, np.uint64(11)).sum(dtype=np.uint64) for x in sets], np.uint64)
             s2 = np.array([mix(x, np.uint64(13)).sum(dtype=np.uint64) for x in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b["id"], int64(n), int64(s1), int64(s2), pa.nulls(len(n), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b["id"].slice(i, j - i), int64(n), int64(s1), int64(s2), pa.nulls(len(n), pa.binary())], names)
         add()
         blocks = [x for x in range(ROWS * WIDTH // CELLS) if sketch.ravel()[x * CELLS : (x + 1) * CELLS].any()]
         for x in blocks:
@@ -121,13 +128,15 @@ class Orders:
     def __init__(self, sketch: bytes):
         self.sketch = sketch
 
-    def keys(self, x: np.ndarray) -> list[np.ndarray]:
+    def key(self, x: np.ndarray, order: int) -> np.ndarray:
+        h = mix(x, np.uint64((17, 19, 23)[order]))
+        if order == 2:
+            return h
         s = np.frombuffer(self.sketch, np.uint32).reshape(ROWS, WIDTH)
-        often = np.minimum.reduce([s[r][c] for r, c in enumerate(_cells(x))]).astype(np.uint64)
+        often = np.minimum.reduce([s[r][c] for r, c in enumerate(_cells(x))])
         # Frequencies as steps of a quarter octave: noise of the sketch does not order rare tokens.
-        step = np.floor(np.log2(often + np.uint64(1)) * 4).astype(np.uint64) << np.uint64(56)
-        h = [mix(x, np.uint64(k)) for k in (17, 19, 23)]
-        return [step | (h[0] >> np.uint64(8)), step | (h[1] >> np.uint64(8)), h[2]]
+        step = np.floor(np.log2(often + 1.0) * 4).astype(np.uint64) << np.uint64(56)
+        return step | (h >> np.uint64(8))
 
 
 def prefix_size(n, percent: int):
@@ -138,10 +147,10 @@ def _index(shingle: int, percent: int, orders: Orders):
     """The prefix tokens of the first order: token, document, set size, place in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, sets = b["id"].to_numpy(), sets_of(as_bytes(b["b"]), shingle)
+        for b, i, j, docs in _sliced(batches):
+            ids, sets = b["id"].slice(i, j - i).to_numpy(), sets_of(docs, shingle)
             cols: list[list] = [[], [], [], []]
-            keys = orders.keys(np.concatenate(sets))[0] if sets else None
+            keys = orders.key(np.concatenate(sets), 0)
             at = 0
             for i, x in zip(ids, sets, strict=True):
                 n = len(x)
@@ -247,7 +256,7 @@ def _verify(shingle: int, percent: int, orders: Orders):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def ready(x: np.ndarray) -> tuple:
             m = prefix_size(len(x), percent)
-            return x, *(np.sort(x[np.argpartition(k, m - 1)[:m]]) if m < len(x) else x for k in orders.keys(x)[1:])
+            return x, *(np.sort(x[np.argpartition(k, m - 1)[:m]]) if m < len(x) else x for k in (orders.key(x, 1), orders.key(x, 2)))
 
         def common(x: np.ndarray, y: np.ndarray) -> int:
             if len(x) > len(y):
@@ -257,10 +266,10 @@ def _verify(shingle: int, percent: int, orders: Orders):
             return int((y[at] == x).sum())
 
         leader = None
-        for b in batches:
-            sets = sets_of(as_bytes(b["b"]), shingle)
+        for b, lo, hi, docs in _sliced(batches):
+            sets = sets_of(docs, shingle)
             out: list[tuple] = []
-            for a, i, x in zip(b["a"].to_pylist(), b["id"].to_pylist(), sets, strict=True):
+            for a, i, x in zip(b["a"].slice(lo, hi - lo).to_pylist(), b["id"].slice(lo, hi - lo).to_pylist(), sets, strict=True):
                 if a == i:
                     leader = (a, *ready(x))
                     continue
@@ -290,6 +299,7 @@ def _links(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int, orders
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: id, n_shingles and component_id, the smallest id that links reach."""
+    bound_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("b"))
     seen = cut(d.mapInArrow(_summaries(shingle), "kind int, id long, n long, s1 long, s2 long, cells binary"), "jaccard-sets")
     orders = Orders(_sketch(seen.where("kind = 1")))
