@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from . import oracle
 from .common import table
 
 
@@ -77,4 +77,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_repeated_substrings": oracle.OP3,
+        "op4_warc": oracle.OP4,
+        "op5_ngram_jaccard": oracle.OP5,
+        "op7_url_rules": oracle.OP7,
+        "op10_decontamination": oracle.OP10,
+    }
