@@ -18,7 +18,7 @@ sum to at most one over all words. No arc crosses white space, so a document's m
 words' (and its end's): forward runs once a distinct word, not once an occurrence.
 
 Distribution: words are counted with a bounded dictionary in each task and then by aggregation. The ``HEAD`` most
-frequent words (a fixed number) and their scores travel to the tasks; occurrences of all others are joined by word,
+frequent words (a fixed bound, found from a histogram of the counts) and their scores travel to the tasks; occurrences of all others are joined by word,
 where no key is hot. What is gathered is the vocabulary of the corpus, which grows with it.
 
 Edge cases: null and empty texts are one end token; nothing in training: all probability lies with the pieces; repeated
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, process_cache
+from .common import as_bytes, bound_batches, cut, process_cache
 
 HEAD = 200_000  # words whose scores are sent to all tasks
 FLUSH = 400_000  # distinct words that a task counts before it passes them on
@@ -212,12 +212,26 @@ def _sum_head(key: str, words: list[bytes], c: np.ndarray, lp: np.ndarray):
     return run
 
 
+def _least_count(scored: DataFrame, head: int) -> int:
+    """The smallest count that at most head words reach, to within an eighth of an octave."""
+    step = F.floor(8 * F.log2(F.col("c") + 1))
+    rows = scored.where("c > 0").groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("step")).collect()  # some hundred at most
+    least = 1 << 62
+    for r in rows:
+        head -= r.n
+        if head < 0:
+            break
+        least = r.c
+    return least
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, held_out: str | None = None, vocabulary: str | None = None, head: int = HEAD) -> DataFrame:
     """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10).
 
     held_out: SQL condition over the id column; documents that meet it are scored but not learned from.
     class_col: a column of the training documents; it is not looked at when a document is scored.
     """
+    bound_batches(docs.sparkSession)
     held_out = held_out or f"crc32(cast(cast(`{id_col}` as string) as binary)) % 10 = 0"
     path = vocabulary or vocabulary_file()
     kind = docs.schema[id_col].dataType.simpleString()
@@ -250,7 +264,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lps = [f"lp{i}" for i in range(classes)]
     scored = cut(words.mapInArrow(_score_words(Lattice(path, counts), t), f"word binary, c long, {', '.join(f'{x} double' for x in lps)}"), "lm-scores")
 
-    top = scored.orderBy(F.desc("c"), "word").limit(head).toPandas()
+    top = scored.where(F.col("c") >= _least_count(scored, head)).toPandas()
     key = f"{id(top)}-{t.tokens}-{scored.inputFiles()[:1]}"
     schema = f"id {kind}, h long, copies long, n long, known long, word binary, log_c double, {', '.join(f'{x} double' for x in lps)}"
     rows = d.withColumn("h", F.xxhash64("b")).select("id", "h", "b").mapInArrow(_sum_head(key, [bytes(x) for x in top["word"]], top["c"].to_numpy(), top[lps].to_numpy()), schema)
