@@ -108,16 +108,15 @@ def output_path(target: str | None, table: Table, extension: str) -> str:
 def write_lines(lines: DataFrame, path: str, head: str | None = None, single: bool = False, ordered: bool = True) -> None:
     """Lines as text files, in physical order if they carry it. single: one file, with head in front; one task then
     writes all, so leave it off for large tables, where head goes to a file of its own that sorts first."""
-    out = lines.orderBy("_page", "_lp", "_pos") if ordered and "_page" in lines.columns else lines
-    out = out.select("line")
+    place = [c for c in ("_page", "_lp", "_pos") if c in lines.columns] if ordered else []
     if single:
-        out = out.coalesce(1)
+        out = lines.select(F.lit(1).alias("_part"), *place, "line")
         if head is not None:
-            spark = lines.sparkSession
-            first = spark.createDataFrame([(head,)], "line string")
-            out = first.union(out).coalesce(1)
-        out.write.mode("overwrite").text(path)
+            nothing = [F.lit(None).cast("long").alias(c) for c in place]
+            out = lines.sparkSession.createDataFrame([(head,)], "line string").select(F.lit(0).alias("_part"), *nothing, "line").union(out)
+        out.coalesce(1).sortWithinPartitions("_part", *place).select("line").write.mode("overwrite").text(path)
         return
+    out = (lines.orderBy(*place) if place else lines).select("line")
     out.write.mode("overwrite").text(path)
     if head is not None:
         spark = lines.sparkSession

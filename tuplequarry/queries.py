@@ -628,7 +628,8 @@ def write_catalogs(root: str, version: int = 16, fork: bool = False, tables: tup
 
     letter = {1: "c", 2: "s", 4: "i", 8: "d"}
     classes = [{"oid": BASE + i, "relname": t.name, "relnamespace": 2200, "relfilenode": 0 if i == 0 else BASE + 100 + i, "relkind": "r"} for i, t in enumerate(tables)]
-    classes += [{"oid": 1259, "relname": "pg_class", "relnamespace": 11, "relfilenode": 0, "relkind": "r"}, {"oid": BASE + 50, "relname": "orders_pkey", "relnamespace": 2200, "relfilenode": BASE + 150, "relkind": "i"}]
+    classes += [{"oid": CATALOGS[x], "relname": x, "relnamespace": 11, "relfilenode": 0, "relkind": "r"} for x in ("pg_class", "pg_attribute")]
+    classes += [{"oid": BASE + 50, "relname": "orders_pkey", "relnamespace": 2200, "relfilenode": BASE + 150, "relkind": "i"}]
     attributes = [
         {"attrelid": BASE + i, "attname": c.name, "atttypid": c.type_oid, "attlen": c.size, "attnum": k + 1, "atttypmod": c.typmod, "attnotnull": k == 0, "attbyval": c.size in (1, 2, 4, 8), "attalign": letter[c.alignment], "attstorage": "p" if c.size > 0 else "x", "attcacheoff": -1, "attstattarget": -1, "attislocal": True}
         for i, t in enumerate(tables)
@@ -661,7 +662,7 @@ def cat_list_tables(spark, sf_dir):
     return api.list_tables(spark, _datadir(spark), DB).where("schema = 'public'").select("oid", "schema", "table", "relfilenode", "n_columns")
 
 
-@query(_values([(1259, "pg_class"), (1249, None), (2615, None), (3501, None), (2610, None)], "relfilenode, relname").replace("select *", "select relfilenode::bigint as relfilenode, relname"))
+@query(_values([(1259, "pg_class"), (1249, "pg_attribute"), (2615, None), (3501, None), (2610, None)], "relfilenode, relname").replace("select *", "select relfilenode::bigint as relfilenode, relname"))
 def cat_list_files(spark, sf_dir):
     return api.list_files(spark, _datadir(spark), DB).select("relfilenode", "relname")
 
