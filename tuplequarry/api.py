@@ -24,8 +24,9 @@ from .plans import discovery
 from .plans.catalog import list_databases, list_files, list_tables
 from .sources.pgheap import PAGES_PER_PARTITION, ensure_registered, plan_to_json
 from .sources.scan import Plan, chunks_of, probe
+from .streaming.pages import stream_plan
 
-__all__ = ["count", "csv", "ddl", "export_metadata", "heap_table", "inserts", "list_databases", "list_files", "list_tables", "load_metadata", "page_report", "plan_of", "save"]
+__all__ = ["count", "csv", "ddl", "export_metadata", "heap_table", "inserts", "list_databases", "list_files", "list_tables", "load_metadata", "item_report", "page_report", "plan_of", "save", "stream_table"]
 
 ALIASES = {"dbOid": "db_oid", "catalogJson": "meta_json", "pageSize": "page_size", "pgVersion": "pg_version", "toastPath": "toast", "maxRows": "max_rows", "pagesPerPartition": "pages_per_partition"}
 
@@ -113,10 +114,11 @@ def heap_table(spark: SparkSession, path: str, pages_per_partition: int = PAGES_
     Out-of-line values: a storage relation of up to direct_toast_bytes is loaded by each reader, a larger one is joined."""
     plan = plan_of(path, **options)
     if plan.scan == "auto":
-        some = replace(plan, scan="itemid", meta=False, max_rows=0)
+        # every column counts for the choice, whichever are asked for
+        some = replace(plan_of(path, **options | {"fields": None}), scan="itemid", meta=False, max_rows=0, toast="")
         seen = _load(spark, path, some, pages_per_partition)
         has_value = F.coalesce(*[F.col(export.identifier_path(c)).cast("string") for c in seen.columns], F.lit("")) != ""
-        plan = replace(plan, scan="itemid" if not plan.ctx.table.live or seen.where(has_value).take(1) else "carve")
+        plan = replace(plan, scan="itemid" if seen.where(has_value).take(1) else "carve")
     if plan.toast and size_of(plan.toast) > direct_toast_bytes:
         wanted = [n for n, _ in plan.fields()]
         df = _load(spark, path, replace(plan, pointers=True, toast=""), pages_per_partition)
@@ -126,9 +128,7 @@ def heap_table(spark: SparkSession, path: str, pages_per_partition: int = PAGES_
 
 def stream_table(spark: SparkSession, path: str, pages_per_partition: int = PAGES_PER_PARTITION, **options) -> DataFrame:
     """New pages of a growing relation as a stream."""
-    ensure_registered(spark)
-    plan = replace(plan_of(path, **options), pointers=False)
-    return spark.readStream.format("pgheap").option("path", path).option("plan", plan_to_json(plan)).option("pagesPerPartition", str(pages_per_partition)).load()
+    return stream_plan(spark, path, plan_of(path, **options), pages_per_partition)
 
 
 def count(spark: SparkSession, path: str, **options) -> int:
