@@ -54,9 +54,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = remove_repeats(docs)
     changed = cut(out.where("n_removed > 0").select("doc_id", "kept"), "pipeline-cut")
     same = drop_ids(docs, changed.select("doc_id"), "doc_id").select(COLUMNS)
-    text = F.call_function("try_validate_utf8", F.col("kept").cast("string"))
-    text = F.coalesce(text, F.call_function("make_valid_utf8", F.col("kept").cast("string")))
-    text = F.regexp_replace(text, "�", "")
+    kept = F.col("kept").cast("string")
+    mended = F.regexp_replace(F.make_valid_utf8(kept), "\ufffd", "")
+    text = F.coalesce(F.try_validate_utf8(kept), mended)
     # ids identify texts, so rows of one id were changed alike
     changed = changed.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumn("new", text)
     others = keep_ids(docs, changed.select("doc_id"), "doc_id").select("doc_id", "lang", "source").join(changed.select("doc_id", "new"), "doc_id")
