@@ -5,7 +5,8 @@ record's header block first. Predicates on the record type and on headers are ta
 and decided on the header; what they reject is skipped without decoding its payload: files of this writer carry each
 record's compressed size in the gzip member's extra field (subfield ``WS``), so a skipped record costs a seek. Files of
 other writers, compressed or not, are read too; there a skipped gzip member is inflated into nothing and a skipped plain
-record is seeked over. ``payload=false`` leaves out all payloads.
+record is seeked over. ``payload=false`` leaves out all payloads; ``payload=digest`` reads them, and gives their size and
+digest (``seen_bytes``, ``seen_digest``) in place of their bytes.
 
 Writing: a task writes files of about ``ROLL`` bytes under names of its own; on commit the driver writes the list of
 files that count, so files of failed or repeated tasks are never read. Files may lie in any store that pyarrow opens.
@@ -32,7 +33,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from .common import fresh_path
 
-PART, ROLL, ROWS = 64 << 20, 64 << 20, 512
+PART, ROLL, ROWS = 32 << 20, 32 << 20, 512
 COMMITTED = "_files.json"
 # Columns, and the named header fields that they are (fixed values of the format).
 FIELDS = {
@@ -47,7 +48,7 @@ FIELDS = {
     "payload_size": "X-Payload-Length",
     "refers_to_page": "X-Refers-To-Page-Id",
 }
-SCHEMA = ", ".join(f"{x} string" for x in FIELDS) + ", payload binary"
+SCHEMA = ", ".join(f"{x} string" for x in FIELDS) + ", payload binary, seen_bytes long, seen_digest string"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -168,7 +169,7 @@ class _Files(InputPartition):
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.payload = options["path"], str(options.get("payload", "true")).lower() != "false"
+        self.path, self.payload = options["path"], str(options.get("payload", "true")).lower()
         self.part = int(options.get("partBytes", PART))
         self.only: list[tuple[str, tuple]] = []
 
@@ -205,7 +206,7 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition):
         fs, _ = _open(self.path)
-        payload, only = self.payload, self.only
+        payload, only = self.payload != "false", self.only
 
         def want(fields: dict[str, str]) -> bool | None:
             for name, values in only:
@@ -214,20 +215,23 @@ class WarcReader(DataSourceReader):
                     return None
             return payload
 
-        names = [*FIELDS, "payload"]
+        names = [*FIELDS, "payload", "seen_bytes", "seen_digest"]
+        kinds = [*[pa.string()] * len(FIELDS), pa.binary(), pa.int64(), pa.string()]
+        whole = self.payload == "true"
         rows: list[tuple] = []
         size = 0
 
         def batch():
             cols = list(zip(*rows, strict=True))
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "payload" else pa.string()) for n, c in zip(names, cols, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
         for path in partition.paths:
             with fs.open_input_file(path) as file:
                 for fields, block in read_records(file, want):
-                    rows.append((*(fields.get(x.lower()) for x in FIELDS.values()), block))
-                    size += len(block or b"")
+                    seen = (None, None) if block is None else (len(block), digest_of(block))
+                    rows.append((*(fields.get(x.lower()) for x in FIELDS.values()), block if whole else None, *seen))
+                    size += len(block or b"") if whole else 0
                     if len(rows) >= ROWS or size > 8 << 20:
                         yield batch()
                         size = 0
@@ -241,7 +245,8 @@ class _Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Rows with the columns of SCHEMA (all but payload optional). A revisit is written without its payload."""
+    """Rows with columns of SCHEMA, payload first of all; size and digest are the writer's. A revisit is written with both,
+    but without its payload."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -258,6 +263,7 @@ class WarcWriter(DataSourceArrowWriter):
                     row = {n: c[k] for n, c in cols.items()}
                     payload = row.get("payload") or b""
                     kind = row.get("record_type") or "response"
+                    row["payload_size"], row["payload_digest"] = str(len(payload)), f"sha1:{digest_of(payload)}"
                     fields = [(h, row.get(n)) for n, h in FIELDS.items()]
                     if kind == "revisit":
                         fields.append(("WARC-Profile", REVISIT))
@@ -341,26 +347,13 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
         record_uri(F.col("page_id")).alias("record_id"),
         F.lit(date).alias("date"),
         "target_uri",
-        F.lit(None).cast("string").alias("payload_digest"),
         F.when(F.col("refers_to").isNotNull(), record_uri(F.col("refers_to"))).alias("refers_to"),
         F.lit("text/html").alias("content_type"),
         text("page_id").alias("page_id"),
-        F.octet_length("payload").cast("string").alias("payload_size"),
         text("refers_to").alias("refers_to_page"),
-        F.sha1("payload").alias("sha1"),
         "payload",
     )
-    # The digest is hex from Spark; base 32 takes five hex digits to four characters.
-    rows = rows.withColumn("payload_digest", F.concat(F.lit("sha1:"), base32(F.col("sha1")))).withColumn("payload", F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload")))
-    rows.drop("sha1").write.format("warc").option("path", path).mode("append").save()
-
-
-def base32(hex_digest):
-    """Base 32 of a hexadecimal digest of a multiple of ten digits."""
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    bits = F.array_join(F.transform(F.split(hex_digest, ""), lambda c: F.lpad(F.conv(c, 16, 2), 4, "0")), "")
-    fives = F.transform(F.sequence(F.lit(0), (F.length(bits) / 5).cast("int") - 1), lambda i: F.conv(F.substr(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int"))
-    return F.array_join(F.transform(fives, lambda v: F.substr(F.lit(letters), v + 1, F.lit(1))), "")
+    rows.write.format("warc").option("path", path).mode("append").save()
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None, id_col: str = "page_id", **options) -> DataFrame:
@@ -372,10 +365,8 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, id_col: str =
     path = path or fresh_path(spark, "warc")
     write_pages(pages, path, id_col, **options)
     kind = pages.schema[id_col].dataType
-    records = spark.read.format("warc").option("path", path).load()
-    whole = records.where("record_type = 'response'").select(
-        F.col("page_id").cast(kind).alias(id_col), F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"), "record_type", F.lit(None).cast(kind).alias("refers_to")
-    )
-    bare = spark.read.format("warc").option("path", path).option("payload", "false").load().where("record_type = 'revisit'")
-    bare = bare.select(F.col("page_id").cast(kind).alias(id_col), F.col("payload_size").cast("long").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", F.col("refers_to_page").cast(kind).alias("refers_to"))
+    read = lambda payload: spark.read.format("warc").option("path", path).option("payload", payload).load()
+    page = F.col("page_id").cast(kind).alias(id_col)
+    whole = read("digest").where("record_type = 'response'").select(page, F.col("seen_bytes").alias("payload_bytes"), F.col("seen_digest").alias("payload_digest"), "record_type", F.lit(None).cast(kind).alias("refers_to"))
+    bare = read("false").where("record_type = 'revisit'").select(page, F.col("payload_size").cast("long").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", F.col("refers_to_page").cast(kind).alias("refers_to"))
     return whole.union(bare)
