@@ -38,6 +38,15 @@ def process_cache() -> dict:
     return sys.__dict__.setdefault("_tuplequarry_cache", {})
 
 
+def large(key, make):
+    """The one large object (model, tokenizer, table) that this process keeps: workers outlive tasks and operators."""
+    cache = process_cache()
+    if cache.get("large", (None,))[0] != key:
+        cache["large"] = None, None  # the old one goes first
+        cache["large"] = key, make()
+    return cache["large"][1]
+
+
 # --- the shared folder -----------------------------------------------------------------------------------------------
 
 

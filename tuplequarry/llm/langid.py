@@ -19,6 +19,7 @@ each; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import process_cache
+from .common import bound_batches, large
 
 PER_LANGUAGE, ORDER, SURE, SMOOTH = 4000, 5, 20, 0.5
-MAX_WORDS, CACHE = 400_000, 300_000
+MAX_WORDS, CACHE, FLUSH = 150_000, 200_000, 30_000
 UNKNOWN = "und"
 
 
@@ -47,66 +48,86 @@ def _grams(word: str) -> Iterator[str]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, kind, item, n): words, and n-grams of words."""
-    for b in batches:
-        words: dict[str, Counter] = {}
-        for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
-            words.setdefault(lang, Counter()).update(words_of(text or ""))
-        rows = []
+    """(lang, kind, item, n): words (kind 0), and n-grams of words (kind 1)."""
+    words: dict[str, Counter] = {}
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+
+    def out():
         for lang, found in words.items():
             grams: Counter = Counter()
             for w, n in found.items():
                 for g in _grams(w[:64]):
                     grams[g] += n
-            rows += [(lang, 0, w, n) for w, n in found.items()]
-            rows += [(lang, 1, g, n) for g, n in grams.items()]
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["lang", "kind", "item", "n"])
+            for kind, c in ((0, found), (1, grams)):
+                cols = ([lang] * len(c), [kind] * len(c), list(c), list(c.values()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["lang", "kind", "item", "n"])
+        words.clear()
+
+    for b in batches:
+        for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
+            words.setdefault(lang, Counter()).update(words_of(text or ""))
+            if sum(map(len, words.values())) > FLUSH:
+                yield from out()
+    yield from out()
 
 
 class Model:
     """Log relative frequencies per language (a row each) of words and of n-grams."""
 
-    def __init__(self, langs: list[str], words: dict[str, list[int]], grams: dict[str, list[int]]):
-        self.langs = langs
-        self.words, self.word_logs = self._logs(words)
-        self.grams, self.gram_logs = self._by_length(grams)
-
-    def _logs(self, counts: dict[str, list[int]]) -> tuple[dict[str, int], np.ndarray]:
-        c = np.array(list(counts.values()), float).reshape(len(counts), len(self.langs))
-        return {k: i for i, k in enumerate(counts)}, np.log((c + SMOOTH) / (c.sum(axis=0) + SMOOTH * (len(c) + 1))).astype(np.float32)
-
-    def _by_length(self, counts: dict[str, list[int]]) -> tuple[dict[str, int], np.ndarray]:
-        names, logs = {}, [np.zeros((0, len(self.langs)), np.float32)]
-        for n in range(1, ORDER + 1):
-            own, x = self._logs({k: v for k, v in counts.items() if len(k) == n})
-            at = sum(map(len, logs))
-            names |= {k: at + i for k, i in own.items()}
-            logs.append(x)
-        return names, np.concatenate(logs)
+    def __init__(self, langs: list[str], words: dict[str, int], word_logs: np.ndarray, grams: dict[str, int], gram_logs: np.ndarray):
+        self.langs, self.words, self.word_logs, self.grams, self.gram_logs = langs, words, word_logs, grams, gram_logs
+        # Words as they come up, known and backed off, each with its row; emptied when full.
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((CACHE, len(langs)), np.float32)
+
+    @staticmethod
+    def logs(counts: np.ndarray) -> np.ndarray:
+        return np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * (len(counts) + 1))).astype(np.float32)
+
+    @staticmethod
+    def fit(langs: list[str], words: list[str], word_counts: np.ndarray, grams: list[str], gram_counts: np.ndarray) -> tuple:
+        """What __init__ takes. N-grams are smoothed among those of their length."""
+        size = np.fromiter(map(len, grams), np.int64, len(grams))
+        logs = np.zeros(gram_counts.shape, np.float32)
+        for n in np.unique(size):
+            logs[size == n] = Model.logs(gram_counts[size == n])
+        return langs, {w: i for i, w in enumerate(words)}, Model.logs(word_counts), {g: i for i, g in enumerate(grams)}, logs
 
     def word(self, w: str) -> np.ndarray:
         i = self.words.get(w)
         if i is not None:
             return self.word_logs[i]
         text, at, out = f"^{w}$", 0, np.zeros(len(self.langs), np.float32)
-        steps = 0
         while at < len(text):
             for n in range(min(ORDER, len(text) - at), 0, -1):
                 g = self.grams.get(text[at : at + n])
                 if g is not None:
                     x = self.gram_logs[g]
                     out = out + (x - x.max())
-                    steps += 1
                     break
             else:
                 n = 1
             at += max(1, n - 1)  # n-grams overlap by a character
         return out
 
+    def places(self, found: list[str]) -> list[int]:
+        """The words' rows in the table."""
+        get = self.rows.get
+        at = [get(w, -1) for w in found]
+        if -1 in at:
+            new = list({w for w, k in zip(found, at, strict=True) if k < 0})
+            if len(self.rows) + len(new) > len(self.table):
+                self.rows.clear()
+                new = list(set(found))
+                if len(new) > len(self.table):
+                    self.table = np.zeros((2 * len(new), len(self.langs)), np.float32)
+            for w in new:
+                k = self.rows[w] = len(self.rows)
+                self.table[k] = self.word(w)
+            at = [self.rows[w] for w in found]
+        return at
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        cache = process_cache().setdefault(("langid", self.key), {})
         names, scores = [], []
         for text in texts:
             found = words_of(text) if text else []
@@ -114,14 +135,7 @@ class Model:
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            total = np.zeros(len(self.langs))
-            for w, n in Counter(found).items():
-                x = cache.get(w)
-                if x is None:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    x = cache[w] = self.word(w)
-                total += n * x
+            total = self.table[self.places(found)].sum(axis=0, dtype=np.float64)
             total *= min(1.0, SURE / len(found))
             p = np.exp(total - total.max())
             k = int(np.argmax(p))
@@ -130,34 +144,47 @@ class Model:
         return names, scores
 
 
-def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, max_words: int = MAX_WORDS) -> Model:
-    """Fits on a sample of labelled: rows whose id hashes below per_language / the rows of their language."""
+def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, max_words: int = MAX_WORDS) -> tuple:
+    """Fits on a sample of labelled: rows whose id hashes below per_language / the rows of their language.
+
+    Returns Model's arguments. If the bound of the word table is ever met, the rarest words are left to the back-off."""
+    bound_batches(labelled.sparkSession)
     d = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     sizes = d.groupBy("lang").agg(F.count("*").alias("rows"))
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * F.col("rows") < F.lit(per_language * (1 << 30))
-    some = d.join(F.broadcast(sizes), "lang").where(share).select("lang", "text")
-    counts = some.mapInArrow(_counts, "lang string, kind int, item string, n long").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
-    counts = counts.groupBy("kind", "item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
-    # Ordered so that the bound of the word table, if it is ever met, leaves out the rarest words; those are backed off.
-    rows = counts.where("kind = 1 or n > 1").orderBy("kind", F.desc("n"), "item")
     langs = sorted(r.lang for r in sizes.select("lang").collect())
-    words: dict[str, list[int]] = {}
-    grams: dict[str, list[int]] = {}
-    for kind, to, most in ((0, words, max_words), (1, grams, 2 * max_words)):
-        for r in rows.where(F.col("kind") == kind).limit(most).toPandas().itertuples():
-            to[r.item] = [r.by.get(x, 0) for x in langs]
-    model = Model(langs, words, grams)
-    model.key = f"{id(model)}-{len(words)}-{len(grams)}-{some.sparkSession.sparkContext.applicationId}"
-    return model
-
-
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """The columns id and carry, with lang_pred and score."""
+    if not langs:
+        return [], {}, np.zeros((0, 0), np.float32), {}, np.zeros((0, 0), np.float32)
+    some = d.join(F.broadcast(sizes), "lang").where(share).select("lang", "text")
+    counts = some.mapInArrow(_counts, "lang string, kind int, item string, n long").groupBy("kind", "item")
+    counts = counts.agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)))
+    counts = counts.where("kind = 1 or n > 1").persist()
+    parts: list = []
+    for kind, most in ((0, max_words), (1, max_words)):
+        own = counts.where(F.col("kind") == kind)
+        least = F.floor(4 * F.log2("n"))
+        room, bound = most, 0
+        for r in own.groupBy(least.alias("step")).agg(F.count("*").alias("items"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():
+            room -= r["items"]
+            if room < 0:
+                break
+            bound = r.n
+        t = own.where(F.col("n") >= bound if bound else F.lit(False)).orderBy("item").toArrow()
+        parts += [t["item"].to_pylist(), np.stack([t[f"n{i}"].to_numpy() for i in range(len(langs))], axis=1).astype(float)]
+    counts.unpersist()
+    return Model.fit(langs, *parts)
+
+
+def identify(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The columns id and carry, with lang_pred and score. model: what train returned; each process gets it once."""
+    bound_batches(docs.sparkSession)
     names = [id_col, *carry]
+    sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = large(key, lambda: Model(*sent.value))
         for b in batches:
-            lang, score = model.predict(b["__text"].to_pylist())
+            lang, score = own.predict(b["__text"].to_pylist())
             yield pa.RecordBatch.from_arrays([*(b[x] for x in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
     schema = ", ".join(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in names) + ", lang_pred string, score double"
