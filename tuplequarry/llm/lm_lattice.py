@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_batches, cut, process_cache
+from .common import as_bytes, bound_batches, cut, large
 
 HEAD = 200_000  # words whose scores are sent to all tasks
 FLUSH = 400_000  # distinct words that a task counts before it passes them on
@@ -188,10 +188,7 @@ def _sum_head(key: str, words: list[bytes], c: np.ndarray, lp: np.ndarray):
     classes = lp.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = process_cache()
-        if cache.get("head", [None])[0] != key:
-            cache["head"] = key, {w: k for k, w in enumerate(words)}
-        get = cache["head"][1].get
+        get = large(key, lambda: {w: k for k, w in enumerate(words)}).get
         names = ["id", "h", "copies", "n", "known", "word", "log_c", *(f"lp{k}" for k in range(classes))]
         base, good, none = np.log10(c + 0.1), (c > 0).astype(np.int64), [0.0] * (classes + 1)
         for b in batches:
