@@ -21,12 +21,10 @@ def brute(docs, length):
     return sorted(out)
 
 
-def run(spark, docs, length, more=""):
+def run(spark, docs, length, more=()):
     rows = [(i, None if t is None else t.decode()) for i, t in docs]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    if more:
-        df = df.selectExpr("*", more)
-    return sorted(tuple(r)[:5] for r in remove_repeats(df, length=length).collect())
+    return sorted(tuple(r)[:5] for r in remove_repeats(df.selectExpr("*", *more), length=length).collect())
 
 
 @pytest.mark.parametrize(("seed", "length", "letters"), [(1, 12, 3), (2, 20, 26), (3, 16, 1), (4, 33, 4), (5, 64, 6)])
@@ -43,6 +41,6 @@ def test_against_brute_force(spark, seed, length, letters):
 def test_edges(spark):
     t = "äöü some text that is repeated, ".encode() * 3
     docs = [(1, t), (1, t), (2, b""), (3, b"short"), (4, t + b"tail")]
-    assert run(spark, docs, 16, "'x' as h, 1 as n") == brute(docs, 16)
+    assert run(spark, docs, 16, ["'x' as h", "1 as n"]) == brute(docs, 16)
     assert run(spark, [(1, None)], 16) == brute([(1, b"")], 16)
     assert run(spark, [], 16) == []
