@@ -2,6 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. What a
 stage returns is written as Parquet and read again as the next one's docs.
+
+Rows without a doc_id cannot be told apart by id: stages that decide by id keep them as they are. Null texts are empty.
 """
 
 from __future__ import annotations

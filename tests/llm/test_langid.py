@@ -14,7 +14,7 @@ def test_held_out(spark):
         w = ["".join(r.choices(SYLLABLES[lang], k=r.randint(1, 4))) for _ in range(r.randint(3, 40))]
         rows.append((i, " ".join(w).title(), lang if r.random() < 0.9 else None))
     truth = {i: max(SYLLABLES, key=lambda x: sum(t.lower().count(s) for s in SYLLABLES[x])) if y is None else y for i, t, y in rows}
-    rows += [(1000, None, "aa"), (1001, "", "bb"), (1002, "123 !? _", "cc"), (1003, "漢字", None), (1003, "漢字", None)]
+    rows += [(1000, None, "aa"), (1001, "", "bb"), (1002, "123 !? _ \u00b2 \u0301", "cc"), (1003, "漢字", None), (1003, "漢字", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as score", "'x' as lang_pred", "0 as id")
     got = identify_documents(df).collect()
     assert len(got) == len(rows)

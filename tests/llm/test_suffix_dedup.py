@@ -24,7 +24,7 @@ def brute(docs, length):
 def run(spark, docs, length, more=()):
     rows = [(i, None if t is None else t.decode()) for i, t in docs]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    return sorted(tuple(r)[:5] for r in remove_repeats(df.selectExpr("*", *more), length=length).collect())
+    return sorted((tuple(r)[:5] for r in remove_repeats(df.selectExpr("*", *more), length=length).collect()), key=lambda r: (r[0] is not None, r))
 
 
 @pytest.mark.parametrize(("seed", "length", "letters"), [(1, 12, 3), (2, 20, 26), (3, 16, 1), (4, 33, 4), (5, 64, 6)])
@@ -43,4 +43,6 @@ def test_edges(spark):
     docs = [(1, t), (1, t), (2, b""), (3, b"short"), (4, t + b"tail")]
     assert run(spark, docs, 16, ["'x' as h", "1 as n"]) == brute(docs, 16)
     assert run(spark, [(1, None)], 16) == brute([(1, b"")], 16)
+    got = run(spark, [(None, t), (None, t), (2, t[:96])], 20)
+    assert [x[2] for x in got if x[0] is None] == [0, 0] and len(got) == 3
     assert run(spark, [], 16) == []

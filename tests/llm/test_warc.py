@@ -30,6 +30,8 @@ def test_round_trip(spark, tmp_path):
     assert sorted(map(tuple, archive_round_trip(df).collect()), key=str) == brute(pages)
     assert sorted(map(tuple, archive_round_trip(df, least=2).collect()), key=str) == brute(pages, 2)
     assert archive_round_trip(df.limit(0)).count() == 0
+    none = spark.createDataFrame([(None, None, "a"), (7, "u", "a"), (7, "u", "a")], "page_id long, url string, html string")
+    assert sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in archive_round_trip(none).collect()) == [("7", "response", "None")] * 2 + [("None", "revisit", "7")]
 
 
 def test_predicates_reach_the_reader(spark, tmp_path):

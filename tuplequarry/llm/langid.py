@@ -131,7 +131,7 @@ class Model:
         names, scores = [], []
         for text in texts:
             found = words_of(text) if text else []
-            if not found or not self.langs:
+            if not self.langs or not any(c.isalpha() for w in found for c in w):
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue

@@ -20,7 +20,7 @@ are counted with map-side combining.
 
 Edge cases: null text is empty; texts shorter than ``length`` lose nothing; repeated rows are copies of each other and
 lose everything if long enough; an empty table gives an empty result; other columns are ignored. ``doc_id`` must
-identify the text (rows with equal ids and equal text are copies). Memory of a task follows its largest text.
+identify the text (rows with equal ids and equal text are copies); rows without an id lose nothing and count nowhere. Memory of a task follows its largest text.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, byte_codes, cut, drop_ids, int64, keep_ids, mix, slices
+from .common import as_bytes, bound_batches, byte_codes, cut, drop_ids, int64, keep_ids, mix, slices
 
 LENGTH = 400
 
@@ -134,7 +134,7 @@ def _find_anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             docs, ids = as_bytes(b["b"]), b["doc"].to_numpy()
-            parts = [[x, *y] for i, j in slices(docs, 1 << 20) for x, *y in [_anchors(docs[i:j], length)] for x in [ids[i:j][x]]]
+            parts = [[x, *y] for i, j in slices(docs, 1 << 19) for x, *y in [_anchors(docs[i:j], length)] for x in [ids[i:j][x]]]
             if not parts:
                 continue
             doc, at, near, far, bucket, context = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -238,10 +238,11 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left, as binary)."""
+    bound_batches(docs.sparkSession)
     if length < 8:
         raise ValueError("length must be 8 at least")
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("b"))
-    digest = d.select("doc", F.octet_length("b").cast("long").alias("n"), F.sha2("b", 256).alias("h")).where(F.col("n") >= length)
+    digest = d.select("doc", F.octet_length("b").cast("long").alias("n"), F.sha2("b", 256).alias("h")).where((F.col("n") >= length) & F.col("doc").isNotNull())
     classes = cut(digest.groupBy("h").agg(F.min("doc").alias("doc"), F.count("*").alias("copies")), "repeat-classes")
     copies = cut(digest.join(classes.where("copies > 1").select("h"), "h"), "repeat-copies").select("doc", "n")
 
