@@ -3,7 +3,9 @@ checked against the same rows in SQL. Flags, nulls and faults follow from keys b
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import struct
 import sys
 import tempfile
@@ -54,6 +56,7 @@ def _folder(spark: SparkSession) -> str:
         base = shared.removeprefix("file://").removeprefix("file:") if shared and shared.startswith(("file:", "/")) else tempfile.gettempdir()
         own["folder"] = f"{base}/tuplequarry-heap-{uuid.uuid4().hex}"
         os.makedirs(own["folder"], exist_ok=True)
+        atexit.register(shutil.rmtree, own["folder"], True)
     return own["folder"]
 
 
@@ -368,6 +371,25 @@ for _joined in (False, True):
     query("select doc_id, case when doc_id % 9 = 0 and strlen(text) > 1996 then null else text end as text, lang from documents", f"toast_missing{'_join' if _joined else ''}")(_toast_query(None, _joined, True))
 
 
+def _inline(method: str) -> Query:
+    """Every value compressed in its row, where that makes it smaller."""
+
+    def change(r: tuple) -> tuple:
+        raw = r[1].encode()[:6000].decode("utf-8", "ignore").encode()
+        small = enc.compressed(raw, method)
+        return (r[0], enc.Datum(small) if len(small) < min(len(raw), 8000) else raw, r[2])
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = encoded(spark, sf_dir, DOCUMENTS, f"documents_inline_{method}", source="documents", change=change)
+        return api.heap_table(spark, path, table=DOCUMENTS).select("doc_id", F.substring("text", 1, 1500).alias("text"), "lang")
+
+    return run
+
+
+for _m in ("pglz", "lz4"):
+    query("select doc_id, substr(text, 1, 1500) as text, lang from documents", f"inline_compressed_{_m}")(_inline(_m))
+
+
 @query("select doc_id, case when doc_id % 9 = 0 and strlen(text) > 1996 then 'text:TOAST_MISSING' end as status from documents")
 def toast_status(spark, sf_dir):
     path, store = _toasted(spark, sf_dir, None, True)
@@ -681,7 +703,7 @@ def _columns(spark: SparkSession, version: int, fork: bool = False) -> DataFrame
 
 
 query(_COLUMNS_SQL, "cat_columns")(lambda spark, sf_dir: _columns(spark, 16))
-for _version in (11, 12, 14, 17, 18):
+for _version in (11, 12, 14, 16, 17, 18):
     query(_COLUMNS_SQL, f"version_layout_{_version}")(
         (lambda spark, sf_dir, v=_version: _columns(spark, v)) if _version >= 12 else (lambda spark, sf_dir, v=_version: _discovered(spark, v, False))
     )
@@ -717,6 +739,15 @@ def export_meta(spark, sf_dir):
     return t.select("t.table", F.explode("t.columns").alias("c")).select("table", "c.attnum", "c.name", "c.type_oid")
 
 
+@query("select '" + str(DB) + "' as database, 16 as pg_version, " + str(len(CATALOG_TABLES)) + "::bigint as n_tables")
+def meta_document(spark, sf_dir):
+    """The metadata document built by joins of catalog DataFrames."""
+    found = catalogs.tables(catalogs.catalog(spark, _datadir(spark), DB), "r").where("schema = 'public'")
+    d = F.from_json("document", "struct<database:string,pg_version:int,tables:array<struct<table:string>>>")
+    one = catalogs.metadata_document(found, str(DB), 16).select(d.alias("d"))
+    return one.select("d.database", "d.pg_version", F.size("d.tables").cast("long").alias("n_tables"))
+
+
 @query("select * from orders")
 def schema_from_catalogs(spark, sf_dir):
     """A relation file inside a data directory: everything but the path is found beside it."""
