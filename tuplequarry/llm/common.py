@@ -6,10 +6,14 @@ The kernels work on UTF-8 bytes, many documents in one buffer, with NumPy; a sli
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import shutil
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +60,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        d = process_cache().setdefault("own_dir", f"file://{tempfile.gettempdir()}/tuplequarry-{uuid.uuid4().hex}")
+        d = process_cache().get("own_dir")
+        if not d:
+            own = f"{tempfile.gettempdir()}/tuplequarry-{uuid.uuid4().hex}"
+            d = process_cache()["own_dir"] = f"file://{own}"
+            atexit.register(shutil.rmtree, own, True)
     return d.rstrip("/")
 
 
@@ -107,6 +115,23 @@ def drop_ids(df: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_IDS
 # --- Arrow helpers ---------------------------------------------------------------------------------------------------
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: a worker waits for its next task with all that its last one has touched."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function for mapInArrow that releases the worker's memory when its task is done."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return tidied
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Values of a binary column; null is empty."""
     return [x or b"" for x in column.to_pylist()]
@@ -227,7 +252,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     shared folder, and the rounds end when the edges are stars. Nothing is collected but a count and a checksum.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = cut(edges.mapInArrow(_local_forest, "u long, v long").distinct(), f"{name}-edges")
+    e = cut(edges.mapInArrow(tidy(_local_forest), "u long, v long").distinct(), f"{name}-edges")
     state = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = state(e)
     while True:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, Words, as_bytes, cut, int64, slices
+from .common import NOT_ALNUM, Words, as_bytes, bound_batches, cut, int64, slices, tidy
 
 SIZE, SHINGLE, BLOCK = 10, 3, 250_000
 
@@ -182,32 +182,35 @@ def _union_length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = SIZE, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items_sha256, spans (hit runs of words) and contaminated."""
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("b"))
     windows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("binary").alias("b"))
-    windows = cut(windows.mapInArrow(_item_windows(size), "item string, window binary").groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items")), "benchmark-windows")
+    windows = cut(windows.mapInArrow(tidy(_item_windows(size)), "item string, window binary").groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items")), "benchmark-windows")
     blocks = max(1, -(-windows.count() // block))
 
+    out = f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<s:long,e:long>>"
     parts = []
     for n in range(blocks):
         own = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == n)
         rows = own.orderBy("window").collect()  # about block windows
         x = _Block([bytes(r.window) for r in rows], shingle)
         if len(x.tokens):
-            df = d.select("b").mapInArrow(_count(x), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+            df = d.select("b").mapInArrow(tidy(_count(x)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
             x.rank(np.array([r.token for r in df], np.int64).view(np.uint64), np.array([r.n for r in df], np.int64))
         schema = "n_words long, ranges array<struct<s:long,e:long>>, items array<string>"
         if blocks == 1:
-            parts = [d.mapInArrow(_hits(x, [r["items"] for r in rows], ["id"]), f"id {kind}, {schema}")]
+            # one Python stage: a second one would take a second worker process
+            hits = _hits(x, [r["items"] for r in rows], ["id"])
+            found = d.mapInArrow(tidy(lambda batches: _union_length(hits(batches))), out)
         else:
             keyed = d.withColumn("h", F.xxhash64("b"))
-            parts.append(keyed.mapInArrow(_hits(x, [r["items"] for r in rows], ["id", "h"]), f"id {kind}, h long, {schema}").withColumn("block", F.lit(n)))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+            parts.append(keyed.mapInArrow(tidy(_hits(x, [r["items"] for r in rows], ["id", "h"])), f"id {kind}, h long, {schema}").withColumn("block", F.lit(n)))
     if blocks > 1:
+        found = parts[0]
+        for p in parts[1:]:
+            found = found.union(p)
         both = found.groupBy("id", "h").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.sum((F.col("block") == 0).cast("int")).alias("times"))
-        found = both.withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select("id", "n_words", "ranges", "items")
-    out = f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<s:long,e:long>>"
-    found = found.mapInArrow(_union_length, out).withColumn("contaminated", F.col("n_hit") > 0)
+        found = both.withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select("id", "n_words", "ranges", "items").mapInArrow(tidy(_union_length), out)
+    found = found.withColumn("contaminated", F.col("n_hit") > 0)
     return found.withColumnRenamed("id", id_col)

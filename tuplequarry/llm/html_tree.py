@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches, tidy
 from .url_rules import url_host
 
 LEAST, PAGES, FEW_NODES = 0.3, 8, 1_000_000
@@ -261,7 +262,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def unimportant_nodes(pages: DataFrame, least: float = LEAST, pages_needed: int = PAGES) -> DataFrame:
     """(host, path) of the site style tree's nodes below the least importance. pages: host, html."""
-    facts = pages.select("host", "html").mapInArrow(_facts, "host string, page long, path long, kind int, fact long").distinct()
+    facts = pages.select("host", "html").mapInArrow(tidy(_facts), "host string, page long, path long, kind int, fact long").distinct()
     c = facts.groupBy("host", "path", "kind", "fact").agg(F.count("*").alias("c"))
     n = F.sum("c")
     # Entropy of the facts relative to the log of the number of pages: log n - sum(c log c) / n, over log n.
@@ -272,6 +273,7 @@ def unimportant_nodes(pages: DataFrame, least: float = LEAST, pages_needed: int
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: id, url, text and n_chars."""
+    bound_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     p = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     p = p.withColumn("host", url_host(F.col("url")))
@@ -279,5 +281,5 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     by_host = low.groupBy("host").agg(F.collect_list("path").alias("low"))
     if low.limit(FEW_NODES + 1).count() <= FEW_NODES:
         by_host = F.broadcast(by_host)
-    out = p.join(by_host, "host", "left").select("id", "url", "host", "html", "low").mapInArrow(_extract, f"id {kind}, url string, text string")
+    out = p.join(by_host, "host", "left").select("id", "url", "host", "html", "low").mapInArrow(tidy(_extract), f"id {kind}, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Words, as_bytes, bound_batches, components, cut, int64, keep_ids, mix, slices
+from .common import SPACE, Words, as_bytes, bound_batches, components, cut, int64, keep_ids, mix, slices, tidy
 
 SHINGLE, PERCENT = 5, 75
 WIDTH, ROWS, CELLS = 1 << 20, 2, 1 << 14  # of the frequency sketch: counters in a row, rows, counters in a block
-SALT = 2000  # pairs of one leader that a salt gets
+SALT = 250  # pairs of one leader that a salt gets
 
 
 def sets_of(docs: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -115,7 +115,7 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sketch(blocks: DataFrame) -> bytes:
     """Adds the tasks' blocks; 128 blocks of 16,384 counters reach the driver, whatever the input."""
     schema = "id long, cells binary"
-    some = blocks.select("id", "cells").repartition("id").mapInArrow(_add_blocks, schema)
+    some = blocks.select("id", "cells").repartition("id").mapInArrow(tidy(_add_blocks), schema)
     out = np.zeros(ROWS * WIDTH, np.int64)
     for r in some.toLocalIterator():
         out[r.id * CELLS : (r.id + 1) * CELLS] = np.frombuffer(r.cells, np.int64)
@@ -294,30 +294,30 @@ def _links(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int, orders
     leaders = texts.join(salts.withColumnRenamed("a", "id"), "id")
     leaders = leaders.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("order"), "id", "b")
     rows = leaders.union(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "order")
-    return cut(rows.select("a", "id", "b").mapInArrow(_verify(shingle, percent, orders), "u long, v long"), f"{name}-links")
+    return cut(rows.select("a", "id", "b").mapInArrow(tidy(_verify(shingle, percent, orders)), "u long, v long"), f"{name}-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: id, n_shingles and component_id, the smallest id that links reach."""
     bound_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("b"))
-    seen = cut(d.mapInArrow(_summaries(shingle), "kind int, id long, n long, s1 long, s2 long, cells binary"), "jaccard-sets")
+    seen = cut(d.mapInArrow(tidy(_summaries(shingle)), "kind int, id long, n long, s1 long, s2 long, cells binary"), "jaccard-sets")
     orders = Orders(_sketch(seen.where("kind = 1")))
     own = seen.where("kind = 0").select("id", "n", "s1", "s2")
     classes = own.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     classes = cut(classes, "jaccard-classes")
 
     single = d.where("id is not null")
-    index = keep_ids(single, classes.select(F.col("rep").alias("id")), "id").mapInArrow(_index(shingle, percent, orders), "t long, id long, n int, pos int")
+    index = keep_ids(single, classes.select(F.col("rep").alias("id")), "id").mapInArrow(tidy(_index(shingle, percent, orders)), "t long, id long, n int, pos int")
     index = index.repartition("t").sortWithinPartitions("t", "id")
-    buckets = cut(index.mapInArrow(_lead(percent), "t long, id long, n int, pos int, leader long"), "jaccard-buckets")
+    buckets = cut(index.mapInArrow(tidy(_lead(percent)), "t long, id long, n int, pos int, leader long"), "jaccard-buckets")
 
     first = _links(single, buckets.where("leader is not null").select(F.col("leader").alias("a"), F.col("id").alias("b")), shingle, percent, orders, "jaccard-1")
     comp = components(first, "jaccard-1")
     left = buckets.join(comp.withColumnRenamed("node", "id"), "id", "left").select("t", "n", "pos", "id", F.coalesce("comp", "id").alias("comp"))
     several = left.groupBy("t").agg((F.min("comp") < F.max("comp")).alias("several")).where("several").select("t")
     left = left.join(several, "t", "left_semi").repartition("t").sortWithinPartitions("t")
-    second = _links(single, left.mapInArrow(_across(percent), "a long, b long"), shingle, percent, orders, "jaccard-2")
+    second = _links(single, left.mapInArrow(tidy(_across(percent)), "a long, b long"), shingle, percent, orders, "jaccard-2")
     comp = components(first.union(second), "jaccard-2")
 
     rep = own.join(classes, ["n", "s1", "s2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))

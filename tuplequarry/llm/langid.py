@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, large
+from .common import bound_batches, large, tidy
 
 PER_LANGUAGE, ORDER, SURE, SMOOTH = 4000, 5, 20, 0.5
 MAX_WORDS, CACHE, FLUSH = 150_000, 200_000, 30_000
@@ -156,7 +156,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_la
     if not langs:
         return [], {}, np.zeros((0, 0), np.float32), {}, np.zeros((0, 0), np.float32)
     some = d.join(F.broadcast(sizes), "lang").where(share).select("lang", "text")
-    counts = some.mapInArrow(_counts, "lang string, kind int, item string, n long").groupBy("kind", "item")
+    counts = some.mapInArrow(tidy(_counts), "lang string, kind int, item string, n long").groupBy("kind", "item")
     counts = counts.agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)))
     counts = counts.where("kind = 1 or n > 1").persist()
     parts: list = []
@@ -188,7 +188,7 @@ def identify(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([*(b[x] for x in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
     schema = ", ".join(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in names) + ", lang_pred string, score double"
-    return docs.select(*names, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*names, F.col(text_col).cast("string").alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_batches, cut, large
+from .common import as_bytes, bound_batches, cut, large, tidy
 
 HEAD = 200_000  # words whose scores are sent to all tasks
 FLUSH = 400_000  # distinct words that a task counts before it passes them on
@@ -248,23 +248,23 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         place = F.when(k == x, i).otherwise(place)
     classes = len(order)
 
-    words = d.select("b", F.when(~F.col("held"), place).alias("k")).mapInArrow(_count_words, "word binary, k int, c long")
+    words = d.select("b", F.when(~F.col("held"), place).alias("k")).mapInArrow(tidy(_count_words), "word binary, k int, c long")
     words = cut(words.groupBy("word").agg(*(F.sum(F.when(F.col("k") == i, F.col("c")).otherwise(0)).alias(f"c{i}") for i in range(classes))), "lm-counts")
     cs = [F.col(f"c{i}") for i in range(classes)]
     total = words.agg(*(F.sum(c) for c in cs), *(F.count(F.when(c > 0, 1)) for c in cs), F.count(F.when(sum(cs[1:], cs[0]) > 0, 1))).first()
     t = Totals([by_class.get(x, 0) for x in order], [x or 0 for x in total[:classes]], list(total[classes : 2 * classes]), total[-1])
 
-    pieces = words.mapInArrow(_segment(path, classes), "k int, piece long, n long").groupBy("k", "piece").agg(F.sum("n").alias("n"))
+    pieces = words.mapInArrow(tidy(_segment(path, classes)), "k int, piece long, n long").groupBy("k", "piece").agg(F.sum("n").alias("n"))
     counts: list[dict[int, int]] = [{} for _ in order]
     for r in pieces.collect():  # at most the vocabulary's size in each class
         counts[r.k][r.piece] = r.n
     lps = [f"lp{i}" for i in range(classes)]
-    scored = cut(words.mapInArrow(_score_words(Lattice(path, counts), t), f"word binary, c long, {', '.join(f'{x} double' for x in lps)}"), "lm-scores")
+    scored = cut(words.mapInArrow(tidy(_score_words(Lattice(path, counts), t)), f"word binary, c long, {', '.join(f'{x} double' for x in lps)}"), "lm-scores")
 
     top = scored.where(F.col("c") >= _least_count(scored, head)).toPandas()
     key = f"{id(top)}-{t.tokens}-{scored.inputFiles()[:1]}"
     schema = f"id {kind}, h long, copies long, n long, known long, word binary, log_c double, {', '.join(f'{x} double' for x in lps)}"
-    rows = d.withColumn("h", F.xxhash64("b")).select("id", "h", "b").mapInArrow(_sum_head(key, [bytes(x) for x in top["word"]], top["c"].to_numpy(), top[lps].to_numpy()), schema)
+    rows = d.withColumn("h", F.xxhash64("b")).select("id", "h", "b").mapInArrow(tidy(_sum_head(key, [bytes(x) for x in top["word"]], top["c"].to_numpy(), top[lps].to_numpy())), schema)
     rows = cut(rows, "lm-rows")
     rare = rows.where("word is not null").select("id", "h", "n", "word").join(scored.hint("merge"), "word")
     n = F.col("n")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, process_cache
+from .common import bound_batches, cut, large, tidy
 
 CAPACITY, END, TOKENIZER = 1024, 2, "byte_bpe_50k"
 BUCKET = 100_000  # pieces that are ranked together, about
@@ -47,34 +47,35 @@ def tokenizer_files(name: str = TOKENIZER) -> tuple[str, str, str]:
 def encoder(files: tuple[str, str, str]):
     """text -> ids of the tokenizer file. Plain text goes through the ranks, which give equal ids several times faster;
     text that may hold a special token's string, or that the fast path refuses, goes through the file itself."""
-    cache = process_cache()
-    if ("encoder", files) not in cache:
-        import base64
-        import json
-
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        with open(files[1], "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding("ranks", pat_str=files[2], mergeable_ranks=ranks, special_tokens={})
-        with open(files[0], encoding="utf-8") as f:
-            special = [x["content"] for x in json.load(f).get("added_tokens", [])]
-        slow: list[Tokenizer] = []
-
-        def encode(text: str) -> list[int]:
-            if not any(x in text for x in special):
-                try:
-                    return fast.encode_ordinary(text)
-                except BaseException as e:  # the extension panics on some extreme texts, outside Exception
-                    if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
-                        raise
-            if not slow:
-                slow.append(Tokenizer.from_file(files[0]))
-            return slow[0].encode(text, add_special_tokens=False).ids
-
-        cache["encoder", files] = encode
-    return cache["encoder", files]
+    return large(("encoder", files), lambda: _encoder(files))
+
+
+def _encoder(files: tuple[str, str, str]):
+    import base64
+    import json
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    with open(files[1], "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    fast = tiktoken.Encoding("ranks", pat_str=files[2], mergeable_ranks=ranks, special_tokens={})
+    with open(files[0], encoding="utf-8") as f:
+        special = [x["content"] for x in json.load(f).get("added_tokens", [])]
+    slow: list[Tokenizer] = []
+
+    def encode(text: str) -> list[int]:
+        if not any(x in text for x in special):
+            try:
+                return fast.encode_ordinary(text)
+            except BaseException as e:  # the extension panics on some extreme texts, outside Exception
+                if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+                    raise
+        if not slow:
+            slow.append(Tokenizer.from_file(files[0]))
+        return slow[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def _cut_pieces(capacity: int, files: tuple[str, str, str], end: int):
@@ -155,10 +156,11 @@ def _place(runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], names: li
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, end: int = END, files: tuple[str, str, str] | None = None, rule: str = "norm") -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset. Capacities left out never bind."""
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long"
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    pieces = cut(d.mapInArrow(_cut_pieces(capacity, files or tokenizer_files(), end), schema), "pieces")
+    pieces = cut(d.mapInArrow(tidy(_cut_pieces(capacity, files or tokenizer_files(), end)), schema), "pieces")
 
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     runs = pack_histogram(histogram, capacity, max_docs or capacity, max_cost or capacity * capacity, rule=rule)
@@ -174,4 +176,4 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranked = p.withColumn("own", own).join(sizes, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("own") - 1)
     names = ["id", "piece", "start", "length", "ids_crc32"]
     out = ranked.select(*names, F.col("rank").cast("long").alias("rank"))
-    return out.mapInArrow(_place(table, names), f"{schema}, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return out.mapInArrow(tidy(_place(table, names)), f"{schema}, sequence_id long, offset long").withColumnRenamed("id", id_col)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Words, as_bytes, cut, mix, slices
+from .common import SPACE, Words, as_bytes, bound_batches, cut, mix, slices, tidy
 
 SYMBOLS = b"#*$%&|<>"
 START, PRIOR, PSEUDO, ROUNDS, THRESHOLD = 0.8, 0.8, 50.0, 60, 0.5
@@ -68,9 +68,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("b"))
-    return d.mapInArrow(_features, f"id {kind}, " + ", ".join(f"{x} long" for x in FEATURES)).withColumnRenamed("id", id_col)
+    return d.mapInArrow(tidy(_features), f"id {kind}, " + ", ".join(f"{x} long" for x in FEATURES)).withColumnRenamed("id", id_col)
 
 
 def default_rules() -> list[tuple[str, Column, Column]]:
@@ -96,7 +97,7 @@ def default_rules() -> list[tuple[str, Column, Column]]:
 
 def fit(patterns: list[int], counts: list[int], rules: int, start: float = START, prior: float = PRIOR, pseudo: float = PSEUDO, rounds: int = ROUNDS) -> np.ndarray:
     """Posterior probability of good of each pattern; a pattern's base-3 digits are 0 nothing, 1 bad, 2 good."""
-    votes = np.array([[p // 3**k % 3 for k in range(rules)] for p in patterns]).reshape(len(patterns), rules)
+    votes = np.array([[p // 3**k % 3 for k in range(rules)] for p in patterns], int).reshape(len(patterns), rules)
     n = np.array(counts, float)
     # table[y, k, v]: probability that rule k votes v on class y (0 bad, 1 good), given that it votes; nothing tells nothing.
     first = np.array([[[0, start, 1 - start]] * rules, [[0, 1 - start, start]] * rules])

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_batches, byte_codes, cut, drop_ids, int64, keep_ids, mix, slices
+from .common import as_bytes, bound_batches, byte_codes, cut, drop_ids, int64, keep_ids, mix, slices, tidy
 
 LENGTH = 400
 
@@ -246,13 +246,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = cut(digest.groupBy("h").agg(F.min("doc").alias("doc"), F.count("*").alias("copies")), "repeat-classes")
     copies = cut(digest.join(classes.where("copies > 1").select("h"), "h"), "repeat-copies").select("doc", "n")
 
-    found = keep_ids(d, classes.select("doc"), "doc").mapInArrow(_find_anchors(length), _ROW_SCHEMA)
+    found = keep_ids(d, classes.select("doc"), "doc").mapInArrow(tidy(_find_anchors(length)), _ROW_SCHEMA)
     found = found.repartition("part").sortWithinPartitions("part", "kind", "bucket", "context")
-    state = cut(found.mapInArrow(_refine(length), _ROW_SCHEMA), "repeat-state")
+    state = cut(found.mapInArrow(tidy(_refine(length)), _ROW_SCHEMA), "repeat-state")
 
     edges = state.where("kind = 2").groupBy("doc").agg(F.collect_list(F.struct("at", "near", "far")).alias("edges"))
     texts = keep_ids(d, edges.select("doc"), "doc").dropDuplicates(["doc"])
-    windows = texts.join(edges, "doc").select("doc", "b", "edges").mapInArrow(_windows(length), "w long, doc long, p long")
+    windows = texts.join(edges, "doc").select("doc", "b", "edges").mapInArrow(tidy(_windows(length)), "w long, doc long, p long")
     twice = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
     more = windows.join(twice, "w", "left_semi").select("doc", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
 
@@ -260,7 +260,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lists = cut(ranges.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("ranges")), "repeat-ranges")
     lists = drop_ids(lists, copies.select("doc"), "doc")
     out = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    some = keep_ids(d, lists.select("doc"), "doc").join(lists, "doc").select("doc", "b", "ranges").mapInArrow(_cut_out, out)
+    some = keep_ids(d, lists.select("doc"), "doc").join(lists, "doc").select("doc", "b", "ranges").mapInArrow(tidy(_cut_out), out)
     rest = drop_ids(d, lists.select("doc").union(copies.select("doc")), "doc")
     zero = F.lit(0).cast("long")
     rest = rest.select("doc", F.octet_length("b").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("b", 256).alias("kept_sha256"), F.col("b").alias("kept"))
