@@ -35,3 +35,10 @@ def test_site_style_tree(spark):
     assert got[105].text == "Our site text number 7 55433 words The same end" and got[200].text.startswith("Our site")
     assert got[201].text == "" and got[202].text == "" and got[203].text == "text number 0 0 words"
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+def test_text_deeper_than_64(spark):
+    deep = lambda i: f"<html><body><h1>Heading</h1>{'<div>' * 100}<p>body number {i}</p>{'</div>' * 100}</body></html>"
+    df = spark.createDataFrame([(i, f"http://deep.com/{i}", deep(i)) for i in range(12)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(df).collect()}
+    assert got == {i: f"body number {i}" for i in range(12)}

@@ -41,6 +41,7 @@ from .common import bound_batches, tidy
 from .url_rules import url_host
 
 LEAST, PAGES, FEW_NODES = 0.3, 8, 1_000_000
+PRIME = (1 << 64) - 1469  # of texts' hashes; (PRIME - 1) / 2 is prime too, so powers of 256 do not come round
 
 # HTML elements without content, those that a new one of their kind ends, those that form no block of
 # their own, those whose content is no markup, and those that are never main text.
@@ -145,6 +146,11 @@ def parse(page: str) -> Node:
     return root
 
 
+def _joined(a: tuple[int, int], b: tuple[int, int]) -> tuple[int, int]:
+    """The hash of two texts one after the other from their hashes, each with 256 to the text's length."""
+    return (a[0] * b[1] + b[0]) % PRIME, a[1] * b[1] % PRIME
+
+
 def _texts(node: Node) -> Iterator[str]:
     """All text below a node, without recursion (trees may be deep)."""
     todo = [node]
@@ -158,28 +164,31 @@ def _texts(node: Node) -> Iterator[str]:
 
 def node_facts(page: str) -> dict[int, tuple[int, int]]:
     """{path: (hash of the text, hash of the children's styles)} over the page's nodes of that path together."""
-    text: dict[int, xxhash.xxh64] = {}
+    text: dict[int, tuple[int, int]] = {}
     shape: dict[int, xxhash.xxh64] = {}
-    # Own text goes to each path above it once; depth is bounded by the stack of open paths.
-    todo: list[tuple] = [(parse(page), ())]
+    # Bottom-up: a closed node hands its text's hash to its parent, so that any depth costs the same a node.
+    below = [(0, 1)]  # hashes of the open nodes' texts so far
+    todo: list = [parse(page)]
     while todo:
-        x, above = todo.pop()
+        x = todo.pop()
         if isinstance(x, str):
             if not x.isspace():
                 raw = x.encode("utf-8", "surrogatepass")
-                for p in above:
-                    text[p].update(raw)
-            continue
-        if x.junk:
-            continue
-        if x.path:
-            text.setdefault(x.path, xxhash.xxh64())
-            s = shape.setdefault(x.path, xxhash.xxh64())
-            s.update(" ".join(y.style for y in x.parts if not isinstance(y, str)))
-            if len(above) < 64:
-                above = (*above, x.path)
-        todo.extend((y, above) for y in reversed(x.parts))
-    return {p: (text[p].intdigest(), shape[p].intdigest()) for p in text}
+                below[-1] = _joined(below[-1], (int.from_bytes(raw) % PRIME, pow(256, len(raw), PRIME)))
+        elif isinstance(x, int):
+            own = below.pop()
+            below[-1] = _joined(below[-1], own)
+            text[x] = _joined(text[x], own)
+        elif not x.junk:
+            if x.path:
+                text.setdefault(x.path, (0, 1))
+                s = shape.setdefault(x.path, xxhash.xxh64())
+                s.update(" ".join(y.style for y in x.parts if not isinstance(y, str)))
+                if x.parts:
+                    below.append((0, 1))
+                    todo.append(x.path)
+            todo.extend(reversed(x.parts))
+    return {p: (xxhash.xxh64_intdigest(b"%d %d" % text[p]), shape[p].intdigest()) for p in text}
 
 
 def page_identity(facts: dict[int, tuple[int, int]]) -> int:
