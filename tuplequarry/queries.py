@@ -371,23 +371,51 @@ for _joined in (False, True):
     query("select doc_id, case when doc_id % 9 = 0 and strlen(text) > 1996 then null else text end as text, lang from documents", f"toast_missing{'_join' if _joined else ''}")(_toast_query(None, _joined, True))
 
 
-def _inline(method: str) -> Query:
-    """Every value compressed in its row, where that makes it smaller."""
+FITS = 32_000  # bytes of a value that a page of 32 KB holds in its row
 
-    def change(r: tuple) -> tuple:
-        raw = r[1].encode()[:6000].decode("utf-8", "ignore").encode()
+
+def _whole(spark: SparkSession, sf_dir: str, key: str, datum: Callable[[bytes], bytes], raw_of: Callable[[str], bytes] = str.encode) -> tuple[str, str]:
+    """The documents with all of their texts: datum(raw) in its row where a page of 32 KB holds it, else out of line."""
+
+    def write(path: str) -> None:
+        chunks: list[tuple[int, bytes]] = []
+
+        def rows():
+            # one partition at a time, as the driver may not hold all texts
+            for doc, text, lang in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").orderBy("doc_id").toLocalIterator():
+                raw = raw_of(text)
+                value = datum(raw)
+                if len(value) > FITS:
+                    small = isinstance(value, enc.Datum)  # a compressed one's header goes, its size and method stay
+                    data = value[4:] if small else raw
+                    chunks.append((100_000 + doc, data))
+                    value = enc.Datum(enc.pointer(len(raw) + 4, len(data), 100_000 + doc, 90_001, int.from_bytes(data[:4], "little") >> 30 if small else 0))
+                yield doc, value, lang
+
+        enc.write_relation(path, DOCUMENTS.columns, rows(), size=32_768)
+        enc.write_toast(path + ".toast", chunks)
+
+    path = written(spark, sf_dir, key, write)
+    return path, path + ".toast"
+
+
+def _inline(method: str, select: Callable) -> Query:
+    """Every value compressed where that makes it smaller, in its row where it fits."""
+
+    def datum(raw: bytes) -> bytes:
         small = enc.compressed(raw, method)
-        return (r[0], enc.Datum(small) if len(small) < min(len(raw), 8000) else raw, r[2])
+        return enc.Datum(small) if len(small) < len(raw) else raw
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = encoded(spark, sf_dir, DOCUMENTS, f"documents_inline_{method}", source="documents", change=change)
-        return api.heap_table(spark, path, table=DOCUMENTS).select("doc_id", F.substring("text", 1, 1500).alias("text"), "lang")
+        path, store = _whole(spark, sf_dir, f"documents_inline_{method}", datum)
+        return select(api.heap_table(spark, path, table=DOCUMENTS, toast=store))
 
     return run
 
 
 for _m in ("pglz", "lz4"):
-    query("select doc_id, substr(text, 1, 1500) as text, lang from documents", f"inline_compressed_{_m}")(_inline(_m))
+    query("select doc_id, substr(text, 1, 1500) as text, lang from documents", f"inline_compressed_{_m}")(_inline(_m, lambda df: df.select("doc_id", F.substring("text", 1, 1500).alias("text"), "lang")))
+    query("select doc_id, text, lang from documents", f"inline_compressed_{_m}_whole")(_inline(_m, lambda df: df))
 
 
 @query("select doc_id, case when doc_id % 9 = 0 and strlen(text) > 1996 then 'text:TOAST_MISSING' end as status from documents")
