@@ -19,3 +19,8 @@ def sf_dir(spark, tmp_path_factory):
 def test_inline_compressed(spark, sf_dir, method):
     path, want = sf_dir
     assert {r.doc_id: tuple(r) for r in queries.QUERIES[f"inline_compressed_{method}_whole"](spark, path).collect()} == want
+
+
+def test_latin1(spark, sf_dir):
+    path, want = sf_dir
+    assert {r.doc_id: tuple(r) for r in queries.QUERIES["encoding_latin1_whole"](spark, path).collect()} == want

@@ -545,15 +545,18 @@ def enum_decode(spark, sf_dir):
     return api.heap_table(spark, encoded(spark, sf_dir, t, "events_enum", source="events", change=change), table=t)
 
 
-def _in_encoding(codec: str) -> Query:
+def _in_encoding(codec: str, select: Callable) -> Query:
+    """A text with a character that the encoding lacks is an error: no relation of that encoding can hold it."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = encoded(spark, sf_dir, DOCUMENTS, f"documents_{codec}", source="documents", change=lambda r: (r[0], r[1][:800].encode(codec, "ignore"), r[2]))
-        return api.heap_table(spark, path, table=DOCUMENTS, encoding=codec).select("doc_id", F.length("text").alias("n"), F.substring("text", 1, 40).alias("text"))
+        path, store = _whole(spark, sf_dir, f"documents_{codec}", lambda raw: raw, lambda text: text.encode(codec))
+        return select(api.heap_table(spark, path, table=DOCUMENTS, encoding=codec, toast=store))
 
     return run
 
 
-query("select doc_id, cast(length(substr(text, 1, 800)) as integer) as n, substr(text, 1, 40) as text from documents", "encoding_latin1")(_in_encoding("latin-1"))
+query("select doc_id, cast(length(substr(text, 1, 800)) as integer) as n, substr(text, 1, 40) as text from documents", "encoding_latin1")(_in_encoding("latin-1", lambda df: df.select("doc_id", F.length(F.substring("text", 1, 800)).alias("n"), F.substring("text", 1, 40).alias("text"))))
+query("select doc_id, text, lang from documents", "encoding_latin1_whole")(_in_encoding("latin-1", lambda df: df))
 
 
 @query("select conv_id, turn, text from conversations")
