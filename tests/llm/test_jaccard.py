@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tuplequarry.llm.jaccard import near_duplicates
+from tuplequarry.llm.jaccard import near_duplicate_links, near_duplicates
 
 
 def brute(docs):
@@ -60,3 +60,24 @@ def test_edges(spark):
     got = sorted(((x.doc_id, x.component_id) for x in near_duplicates(df).collect()), key=str)
     assert got == sorted([(7, 3), (7, 3), (3, 3), (9, 9), (None, None), (8, 8), (10, 8), (11, 11)], key=str)
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_all_links_of_a_group(spark):
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(i % 6):
+            w[r.randrange(len(w))] = f"x{r.randrange(50)}"
+        docs.append((i, " ".join(w)))
+    docs += [(100, docs[1][1]), (101, "other words " * 9), (102, None)]
+    shingles = {}
+    for i, t in docs:
+        w = (t or "").split()
+        if w:
+            shingles.setdefault(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)), i)
+    want = {(i, j) for x, i in shingles.items() for y, j in shingles.items() if i < j and 100 * len(x & y) >= 75 * len(x | y)}
+    got = [tuple(x) for x in near_duplicate_links(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) > len(shingles)
+    assert len({x for p in want for x in p}) < len(shingles)

@@ -13,6 +13,7 @@ lost, and groups of copies are never expanded into pairs.
 * Near copies without all pairs: in the bucket of each token the smallest id leads. First every document is compared
   with its leaders only, and the links make components. Then buckets that still hold several components are compared
   across components only, each pair of different components at least once. Pairs inside a component need no comparing.
+  ``near_duplicate_links`` compares these too and gives all links.
 * Sorted buckets are streamed. Members of a pair are brought to the leader's text, split over salts if there are many.
 
 Edge cases: null or empty texts, and those without words, have an empty set and link with nothing; texts of fewer words
@@ -297,8 +298,8 @@ def _links(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int, orders
     return cut(rows.select("a", "id", "b").mapInArrow(tidy(_verify(shingle, percent, orders)), "u long, v long"), f"{name}-links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per document: id, n_shingles and component_id, the smallest id that links reach."""
+def _indexed(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, Orders, DataFrame]:
+    """Set sizes and names by id, classes of equal sets, texts by id, the orders, and the index of the classes."""
     bound_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("b"))
     seen = cut(d.mapInArrow(tidy(_summaries(shingle)), "kind int, id long, n long, s1 long, s2 long, cells binary"), "jaccard-sets")
@@ -309,6 +310,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     single = d.where("id is not null")
     index = keep_ids(single, classes.select(F.col("rep").alias("id")), "id").mapInArrow(tidy(_index(shingle, percent, orders)), "t long, id long, n int, pos int")
+    return own, classes, single, orders, index
+
+
+def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """All links (a, b), a < b, between different sets, each set under the smallest id that has it.
+
+    Inside components too, so the rows grow with the square of a group of different near copies."""
+    _, _, single, orders, index = _indexed(docs, id_col, text_col, shingle, percent)
+    index = cut(index, "jaccard-index")
+    x, y = (index.select("t", *[F.col(c).alias(c + k) for c in ("id", "n", "pos")]) for k in "ab")
+    both, total = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")), F.col("na").cast("long") + F.col("nb")
+    near = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
+    pairs = x.join(y, "t").where((F.col("ida") < F.col("idb")) & near & (both * (100 + percent) >= percent * total))
+    links = _links(single, pairs.select(F.col("ida").alias("a"), F.col("idb").alias("b")), shingle, percent, orders, "jaccard-all")
+    return links.select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Per document: id, n_shingles and component_id, the smallest id that links reach."""
+    own, classes, single, orders, index = _indexed(docs, id_col, text_col, shingle, percent)
     index = index.repartition("t").sortWithinPartitions("t", "id")
     buckets = cut(index.mapInArrow(tidy(_lead(percent)), "t long, id long, n int, pos int, leader long"), "jaccard-buckets")
 
