@@ -3,7 +3,8 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. What a
 stage returns is written as Parquet and read again as the next one's docs.
 
-Rows without a doc_id cannot be told apart by id: stages that decide by id keep them as they are. Null texts are empty.
+Rows without a doc_id are judged as others are, under a key that stages make of their text; they come out without id.
+Null texts are empty.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from tuplequarry.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SURE_ENOUGH = 0.5
+KEYS = 1 << 62  # where keys of rows without id begin; ids are below
 _NAMES = ("language", "near_duplicates", "repeats", "decontamination", "packing")
 
 
@@ -29,6 +31,16 @@ def _begin(spark: SparkSession, name: str) -> None:
     enter_scope(spark, f"pipeline-{name}", tuple(f"pipeline-{x}" for x in _NAMES[:at]))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with the id in own_id, and in doc_id a key that each row has: the id, or one that the text names."""
+    made = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(KEYS - 1)).bitwiseOR(F.lit(KEYS))
+    return docs.withColumn("own_id", F.col("doc_id")).withColumn("doc_id", F.coalesce("doc_id", made))
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("own_id").alias("doc_id"), *COLUMNS[1:])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID. Rejects documents whose language is undetermined or unsure; lang becomes the prediction."""
     _begin(spark, "language")
@@ -39,13 +51,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join. Of each group of near duplicates the document with the smallest id stays, once."""
+    """N-gram Jaccard join. Of each group of near duplicates the document with the smallest id stays, once.
+
+    Rows without id come after all ids, and those without words are copies of nothing."""
     _begin(spark, "near_duplicates")
+    docs = _keyed(docs)
     groups = cut(near_duplicates(docs), "pipeline-groups")
-    again = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    again = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_shingles").alias("words")).where((F.col("n") > 1) & ((F.col("words") > 0) | (F.col("doc_id") < KEYS))).select("doc_id")
     first = drop_ids(docs, groups.where("doc_id <> component_id").select("doc_id"), "doc_id")
     once = drop_ids(first, again, "doc_id")
-    return once.select(COLUMNS).union(keep_ids(first, again, "doc_id").select(COLUMNS).dropDuplicates(["doc_id"]))
+    return _own(once).union(_own(keep_ids(first, again, "doc_id").dropDuplicates(["doc_id"])))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,24 +68,26 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Cuts fall between bytes; half characters at their edges are left out of the text."""
     _begin(spark, "repeats")
+    docs = _keyed(docs)
     out = remove_repeats(docs)
     changed = cut(out.where("n_removed > 0").select("doc_id", "kept"), "pipeline-cut")
-    same = drop_ids(docs, changed.select("doc_id"), "doc_id").select(COLUMNS)
+    same = _own(drop_ids(docs, changed.select("doc_id"), "doc_id"))
     kept = F.col("kept").cast("string")
     mended = F.regexp_replace(F.make_valid_utf8(kept), "\ufffd", "")
     text = F.coalesce(F.try_validate_utf8(kept), mended)
     # ids identify texts, so rows of one id were changed alike
-    changed = changed.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumn("new", text)
-    others = keep_ids(docs, changed.select("doc_id"), "doc_id").select("doc_id", "lang", "source").join(changed.select("doc_id", "new"), "doc_id")
-    others = others.select("doc_id", F.col("new").alias("text"), "lang", "source", F.length("new").cast("long").alias("n_chars"))
+    changed = changed.dropDuplicates(["doc_id"]).withColumn("new", text)
+    others = keep_ids(docs, changed.select("doc_id"), "doc_id").select("doc_id", "own_id", "lang", "source").join(changed.select("doc_id", "new"), "doc_id")
+    others = others.select(F.col("own_id").alias("doc_id"), F.col("new").alias("text"), "lang", "source", F.length("new").cast("long").alias("n_chars"))
     return same.union(others.where(F.trim(F.translate("text", "\t\n\u000b\f\r", "     ")) != ""))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
     _begin(spark, "decontamination")
+    docs = _keyed(docs)
     hit = cut(find_benchmark(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id"), "pipeline-hit")
-    return drop_ids(docs, hit, "doc_id").select(COLUMNS)
+    return _own(drop_ids(docs, hit, "doc_id"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,6 +86,20 @@ def test_stages(spark, tables, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, d).drop("sequence_id", "offset").collect())) == sorted(x[:5] for x in packed)
 
 
+def test_rows_without_id_are_judged(spark, tmp_path):
+    r = random.Random(5)
+    text = lambda n: " ".join("".join(r.choices("abcdefgh", k=7)) for _ in range(n))
+    a, b, lone, passage, item = text(40), text(40), text(40), text(70), text(20)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = lambda f, rows: sorted((x[0] or 0, x[1]) for x in f(spark, spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"), str(tmp_path)).collect())
+    got = stage(corpus_pipeline.near_duplicate, [(1, a), (None, a + " end"), (None, b), (None, b), (None, lone), (None, ""), (None, ""), (2, "!!!"), (None, "!!!")])
+    assert (1, a) in got and got == sorted([(1, a), (0, b), (0, lone), (0, ""), (0, ""), (2, "!!!")])
+    got = stage(corpus_pipeline.repeats, [(1, "one " + passage), (None, passage + " two"), (None, lone)])
+    assert got == sorted([(1, "one"), (0, "two"), (0, lone)]) or got == sorted([(1, "one "), (0, " two"), (0, lone)])
+    assert stage(corpus_pipeline.decontamination, [(1, a), (None, lone + " " + item), (None, b)]) == sorted([(1, a), (0, b)])
+    corpus_pipeline.enter_scope(spark, None)
+
+
 def test_registered_queries():
     names = list(queries.queries())
     assert [int(x[2:].split("_")[0]) for x in names] == list(range(1, 11))
