@@ -11,9 +11,9 @@ from .common import table
 
 
 def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .suffix_dedup import LENGTH, remove_repeats
+    from .suffix_dedup import LENGTH, PASSAGE, remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"), length=LENGTH).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), length=LENGTH, passage=PASSAGE).drop("kept")
 
 
 def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

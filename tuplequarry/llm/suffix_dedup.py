@@ -1,52 +1,67 @@
 """Removal of long repeated substrings by bucket-pointer refinement over content-chosen suffixes.
 
 Every byte covered by a string of ``length`` bytes that starts anywhere else too is removed, exactly and corpus-wide.
-
-* Bucket identifiers: the bucket of the q-gram at a position is a 64-bit identifier of its content; the bucket of twice
-  the length is named by the pair (bucket here, bucket q later), and these names are reused for the next doubling. So a
-  pointer to the bucket of a later offset is had without moving rows (``_Buckets``).
-* Which suffixes are sorted: for a window of ``length`` bytes, the *anchor* is the smallest q-gram bucket among its
-  first ``gap`` positions. It depends on the window's content alone, so equal windows have equal anchors, and about
-  two anchors in ``gap`` bytes stand for all windows.
-* Initial sort: anchors by the bucket of their next ``length - gap`` bytes, which every window of the anchor contains.
-  An anchor alone in its bucket has no repeated window and goes.
-* Refinement: inside a bucket by the bucket of the whole context (first to last byte of the anchor's windows). Two equal
-  contexts: all their windows repeat. Buckets left with several different contexts are refined once more, down to the
-  buckets of the single windows.
+In the same run, *passages* are found: runs of repeated strings of ``passage`` bytes that hold more than ``words`` words.
+
+* Which suffixes are sorted: for a window of bytes, the *anchor* is the smallest q-gram code among its first ``gap``
+  positions. It depends on the window's content alone, so equal windows have equal anchors, and about two anchors in
+  ``gap`` bytes stand for all windows, those of both lengths.
+* Initial buckets: anchors by the code of the next bytes that each of their windows contains. An anchor alone in its
+  bucket has no repeated window and goes.
+* Refinement by pointers: a window of the greater length also contains the next anchor with its bucket, so buckets are
+  refined by (distance to the next anchor, bucket there); anchors left alone have no repeated window of that length.
+* Refinement by what lies around: an anchor's windows form a tree (all of them, then 16, 4 and 1 neighbours). A node's
+  members share its core, the bytes that all its windows contain; its children's buckets are named by the node's bucket
+  and the strings by which their cores exceed it. A member alone in a bucket goes, a bucket in which all windows agree is
+  settled (all repeat), and the others are refined, down to single windows.
+
+Codes of 64 bits only leave things out. What is removed was found equal either byte by byte (inside a batch, and strings
+of the last two rounds) or by a 128-bit BLAKE2 digest of the very bytes.
 
 Skew: exact copies of documents are reduced to one beforehand (aggregated by digest); equal contexts are reduced to one
-row in each task before the shuffle; sorted runs are streamed, with one row of lookahead and none collected; windows
-are counted with map-side combining.
+row in each batch before the shuffle; buckets are only ever counted, with map-side combining, and joined with their
+counts (unique keys, so that a hot bucket's rows can be split); no bucket is held in memory.
 
 Edge cases: null text is empty; texts shorter than ``length`` lose nothing; repeated rows are copies of each other and
-lose everything if long enough; an empty table gives an empty result; other columns are ignored. ``doc_id`` must
-identify the text (rows with equal ids and equal text are copies); rows without an id lose nothing and count nowhere. Memory of a task follows its largest text.
+lose everything if long enough; an empty table gives an empty result; other columns are ignored. The id column must be of
+an integer type and identify the text (rows with equal ids and equal text are copies); ids below 2**62. Rows without an
+id are judged like others, under a key made of their text. Memory of a task follows its largest text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import as_bytes, bound_batches, byte_codes, cut, drop_ids, int64, keep_ids, mix, slices, tidy
 
-LENGTH = 400
+LENGTH, PASSAGE, WORDS = 400, 256, 50  # 256 bytes: less than 51 words of any language here take
+WIDEST = 128  # windows of an anchor, at most
+BLOCKS = (16, 4, 1)  # windows of a node after each round; those beyond an anchor's windows are left out
+KEYS = 1 << 62  # where keys of rows without id begin
+
+
+def _sizes(shortest: int) -> tuple[int, int, int, int]:
+    """gap; the core that all windows of an anchor share; q and the longest doubled code (powers of two)."""
+    gap = min(WIDEST, 1 << ((shortest // 2).bit_length() - 1))
+    core = shortest - gap + 1
+    unit = 1 << (core.bit_length() - 1)
+    return gap, core, min(32, unit), unit
 
 
-def _sizes(length: int) -> tuple[int, int, int]:
-    """gap, q (a power of two), and the longest doubled bucket."""
-    gap = max(1, length // 4)
-    unit = 1 << ((length - gap).bit_length() - 1)
-    return gap, min(32, unit, 1 << max(0, (length - gap).bit_length() - 2)), unit
+def _widths(shortest: int) -> list[int]:
+    return [x for x in BLOCKS if x <= _sizes(shortest)[0]]
 
 
-class _Buckets:
-    """Bucket identifiers of the q-grams and of the longest doubling at every position of a buffer."""
+class _Codes:
+    """Codes of the q-grams and of the longest doubling at every position of a buffer."""
 
     def __init__(self, a: np.ndarray, q: int, unit: int):
         h, n = byte_codes()[a], 1
@@ -54,14 +69,14 @@ class _Buckets:
         while n < unit:
             later = h.copy()
             if n < len(h):
-                later[:-n] = mix(h[:-n], h[n:])  # own bucket, bucket n bytes later
+                later[:-n] = mix(h[:-n], h[n:])  # own code, code n bytes later
             h, n = later, n * 2
             if n == q:
                 self.q = h
         self.h, self.unit = h, unit
 
     def of(self, at: np.ndarray, size) -> np.ndarray:
-        """Bucket of the string of size (at least unit) bytes at each position."""
+        """Code of the string of size (at least unit) bytes at each position."""
         size = np.broadcast_to(np.asarray(size, np.int64), at.shape)
         out = self.h[at]
         for k in range(1, -(-int(size.max(initial=self.unit)) // self.unit)):
@@ -69,10 +84,10 @@ class _Buckets:
         return mix(out, size.astype(np.uint64))
 
 
-def _owners(bucket: np.ndarray, gap: int) -> np.ndarray:
-    """Position of the smallest of bucket[p:p + gap], for each p; of equal ones the first."""
-    n = len(bucket)
-    key = (bucket & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+def _owners(code: np.ndarray, gap: int) -> np.ndarray:
+    """Position of the smallest of code[p:p + gap], for each p; of equal ones the first."""
+    n = len(code)
+    key = (code & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     whole = np.full(-(-n // gap) * gap + gap, 0xFFFFFFFFFFFFFFFF, np.uint64)
     whole[:n] = key
     blocks = whole.reshape(-1, gap)
@@ -81,28 +96,33 @@ def _owners(bucket: np.ndarray, gap: int) -> np.ndarray:
     return (np.minimum(ahead[:n], behind[gap - 1 : gap - 1 + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _anchors(docs: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """Anchors: document's place in docs, position, nearest and farthest window (bytes before), bucket, context."""
-    gap, q, unit = _sizes(length)
+def _anchors(docs: list[bytes], lengths: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """Anchors: document's place in docs, position, nearest and farthest window (bytes before), distance to and code of
+    the next one, own code, and the code of the whole context, first to last byte of the anchor's windows."""
+    gap, core, q, unit = _sizes(lengths[0])
     a = np.frombuffer(b"".join(docs), np.uint8)
     size = np.fromiter(map(len, docs), np.int64, len(docs))
     off = np.cumsum(size) - size
-    many = np.maximum(size - length + 1, 0)  # windows of each document
+    many = np.maximum(size - lengths[0] + 1, 0)  # windows of each document
     if not many.sum():
-        return tuple(np.zeros(0, t) for t in (*[np.int64] * 4, *[np.uint64] * 2))
-    ids = _Buckets(a, q, unit)
+        return tuple(np.zeros(0, t) for t in (*[np.int64] * 5, *[np.uint64] * 3))
+    codes = _Codes(a, q, unit)
     doc = np.repeat(np.arange(len(docs)), many)
     p = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + off[doc]
-    own = _owners(ids.q, gap)[p]
+    own = _owners(codes.q, gap)[p]
     new = np.ones(len(p), bool)
     new[1:] = (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])
     i = np.flatnonzero(new)
     j = np.append(i[1:], len(p)) - 1
-    at = own[i]
+    at, d = own[i], doc[i]
     far, near = at - p[i], at - p[j]
-    bucket = ids.of(at, length - gap)
-    context = mix(mix(ids.of(at - far, length + far - near), bucket), (far * 65536 + near).astype(np.uint64))
-    return doc[i], at - off[doc[i]], near, far, bucket, context
+    code = codes.of(at, core)
+    follows = np.append(d[1:] == d[:-1], False)
+    hop, beyond = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint64)
+    hop[follows], beyond[follows] = np.diff(at)[follows[:-1]], code[1:][follows[:-1]]
+    last = np.minimum(at - near + lengths[-1], (off + size)[d])
+    context = mix(mix(codes.of(at - far, last - at + far), code), (far * 65536 + near).astype(np.uint64))
+    return d, at - off[d], near, far, hop, beyond, code, context
 
 
 def _merge(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,155 +134,210 @@ def _merge(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[first], e[np.append(np.flatnonzero(first)[1:], len(s)) - 1] if len(s) else e
 
 
-_ROW = ["part", "kind", "bucket", "context", "doc", "at", "near", "far", "full"]
-_ROW_SCHEMA = "part long, kind int, bucket long, context long, doc long, at long, near int, far int, full boolean"
+# kind 0: an anchor, place packed as position, near, far, hop; kind k > 0: a repeated range of the k-th length, place to code
+_ROWS = "kind int, doc long, place long, code long, beyond long, context long"
 
 
-def _rows(*cols) -> pa.RecordBatch:
-    kinds = [None, pa.int32(), None, None, None, None, pa.int32(), pa.int32(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) if t else int64(c) for c, t in zip(cols, kinds, strict=True)], _ROW)
+def _rows(kind, *cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *map(int64, cols)], ["kind", "doc", "place", "code", "beyond", "context"])
 
 
-def _spans_of(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
-    """Kind 1: at and context are a removed range's start and end."""
-    n = len(doc)
-    z = np.zeros(n, np.int64)
-    return _rows(mix(doc.astype(np.uint64), np.uint64(7)), z + 1, z, e, doc, s, z, z, z.astype(bool))
-
-
-def _find_anchors(length: int):
+def _find_anchors(lengths: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             docs, ids = as_bytes(b["b"]), b["doc"].to_numpy()
-            parts = [[x, *y] for i, j in slices(docs, 1 << 19) for x, *y in [_anchors(docs[i:j], length)] for x in [ids[i:j][x]]]
+            size = np.fromiter(map(len, docs), np.int64, len(docs))
+            parts = [[x + i, *y] for i, j in slices(docs, 1 << 19) for x, *y in [_anchors(docs[i:j], lengths)]]
             if not parts:
                 continue
-            doc, at, near, far, bucket, context = (np.concatenate(x) for x in zip(*parts, strict=True))
-            _, first, place, count = np.unique(context, return_index=True, return_inverse=True, return_counts=True)
-            lead = np.zeros(len(doc), bool)
-            lead[first] = True
-            rest = np.flatnonzero(~lead)  # equal to a context that goes on: surely repeated
-            for d in np.split(rest, np.flatnonzero(np.diff(doc[rest])) + 1) if len(rest) else []:
-                m = _merge(at[d] - far[d], at[d] - near[d] + length)
-                yield _spans_of(doc[d][: len(m[0])], *m)
-            i = first
-            yield _rows(bucket[i], np.zeros(len(i)), bucket[i], context[i], doc[i], at[i], near[i], far[i], count > 1)
+            doc, at, near, far, hop, beyond, code, context = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _, first, place = np.unique(context, return_index=True, return_inverse=True)
+            start, stop = at - far, np.minimum(at - near + lengths[-1], size[doc])
+            lead = first[place]
+            rest = np.flatnonzero(lead != np.arange(len(doc)))
+            same = np.fromiter((docs[d][s:e] == docs[d0][s0:e0] for d, s, e, d0, s0, e0 in zip(*(x.tolist() for x in (doc[rest], start[rest], stop[rest], doc[lead[rest]], start[lead[rest]], stop[lead[rest]])), strict=True)), bool, len(rest))
+            rest = rest[same]  # repeated for sure, as their leaders are, by their bytes
+            go = np.ones(len(doc), bool)
+            go[rest] = False
+            twice = np.unique(np.concatenate([rest, lead[rest]]))
+            for k, length in enumerate(lengths):
+                ok = twice[start[twice] + length <= size[doc[twice]]]
+                for x in np.split(ok, np.flatnonzero(np.diff(doc[ok])) + 1) if len(ok) else []:
+                    s, e = _merge(start[x], np.minimum(at[x] - near[x] + length, size[doc[x]]))
+                    z = np.zeros(len(s), np.int64)
+                    yield _rows(k + 1, ids[doc[x]][: len(s)], s, e, z, z)
+            i = np.flatnonzero(go)
+            yield _rows(0, ids[doc[i]], at[i] << 24 | near[i] << 16 | far[i] << 8 | hop[i], code[i], beyond[i], context[i])
 
     return run
 
 
-def _refine(length: int):
-    """Streams rows sorted by bucket and context. Out: kind 1, ranges; kind 2, the contexts of unsettled buckets."""
+# size -1: all windows of an anchor agree with others'; else a node of size windows from start s on. left and right: the
+# bytes before and after its core that some of its windows contain.
+_NODES = "k1 long, k2 long, kind int, doc long, s long, e long, lft binary, rgt binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row, for which the next is needed
-        before = (None, None)  # bucket and context of the row before it
-        waiting = None  # the first context of the bucket that goes on, if it is alone so far
-
-        def work(t: pa.Table, end: bool):
-            nonlocal held, before, waiting
-            n = t.num_rows - (not end)
-            held = None if end else t.slice(n)
-            if not n:
-                return
-            kind, k, c = (t[x].to_numpy() for x in ("kind", "bucket", "context"))
-            doc, at, near, far, full = (t[x].to_numpy() for x in ("doc", "at", "near", "far", "full"))
-            plain = kind == 0
-            new_k, new_c = np.ones(len(k), bool), np.ones(len(k), bool)
-            new_k[1:] = (k[1:] != k[:-1]) | ~plain[:-1]
-            new_c[1:] = new_k[1:] | (c[1:] != c[:-1])
-            if before[0] is not None and plain[0]:
-                new_k[0] = before[0] != k[0]
-                new_c[0] = new_k[0] or before[1] != c[0]
-            again = np.append(~new_c[1:] & plain[1:], False)
-            full = full | ~new_c | again
-            out = plain & full
-            out[n:] = False
-            if out.any():
-                yield _spans_of(doc[out], at[out] - far[out], at[out] - near[out] + length)
-            if (kind[:n] == 1).any():
-                o = np.flatnonzero(kind[:n] == 1)
-                yield _spans_of(doc[o], at[o], c[o])
-            lead = np.flatnonzero(plain[:n] & new_c[:n])
-            several = ~new_k[lead]
-            several[:-1] |= ~new_k[lead[1:]]
-            if len(lead) and waiting is not None and not new_k[lead[0]]:
-                yield waiting
-            if len(lead):
-                waiting = None
-            emit = lead[several]
-            make = lambda i: _rows(k[i], np.full(len(i), 2), k[i], c[i], doc[i], at[i], near[i], far[i], full[i])
-            if len(emit):
-                yield make(emit)
-            if len(lead) and not several[-1]:
-                waiting = make(lead[-1:])
-            before = (k[n - 1], c[n - 1]) if plain[n - 1] else (None, None)
 
+def _nodes(lengths: tuple[int, ...]):
+    width = _widths(lengths[0])[0]
+
+    def key(tag: bytes, text: bytes) -> tuple[int, int]:
+        x = hashlib.blake2b(text, digest_size=16, salt=tag).digest()
+        return int.from_bytes(x[:8], signed=True), int.from_bytes(x[8:], signed=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                t = pa.Table.from_batches([b])
-                yield from work(t if held is None else pa.concat_tables([held, t]).combine_chunks(), False)
-        if held is not None:
-            yield from work(held, True)
+            for doc, text, some in zip(b["doc"].to_pylist(), as_bytes(b["b"]), b["some"], strict=True):
+                n = len(text)
+                place, whole, split, deep = (some.values.field(x).to_numpy(zero_copy_only=False) for x in range(4))
+                rows: list[tuple] = []
+                for geo, is_whole, is_split, is_deep in zip(place.tolist(), whole.tolist(), split.tolist(), deep.tolist(), strict=True):
+                    at, near, far = geo >> 24, geo >> 16 & 255, geo >> 8 & 255
+                    if is_whole:
+                        k = key(b"whole %d %d" % (near, far), text[at - far : min(at - near + lengths[-1], n)])
+                        for x, length in enumerate(lengths):
+                            if at - far + length <= n:
+                                rows.append((*k, -1 - x, doc, at - far, min(at - near + length, n), None, None))
+                    if not is_split:
+                        continue
+                    for x, length in enumerate(lengths):
+                        if x and not is_deep:
+                            continue
+                        least = max(near, at + length - n)
+                        for lo in range(least - least % width, far + 1, width) if least <= far else ():
+                            hi, mine, top = lo + width - 1, max(lo, least), min(lo + width - 1, far)
+                            k = key(b"%d %d" % (x, lo), text[at - lo : at - hi + length])
+                            rows.append((*k, x, doc, at - top, at - mine + length, text[at - top : at - lo], text[at - hi + length : at - mine + length]))
+                cols = list(zip(*rows, strict=True)) or [()] * 8
+                kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["k1", "k2", "kind", "doc", "s", "e", "lft", "rgt"])
 
     return run
 
 
-def _windows(length: int):
+def _settle(nodes: DataFrame, keys: list[str], rest: list[str], name: str) -> DataFrame:
+    """Members of buckets (equal keys) of two at least, with ``alike``: all members agree in rest too."""
+    fine = nodes.groupBy(*keys, *rest).agg(F.count("*").alias("m"))
+    total = fine.groupBy(*keys).agg(F.sum("m").alias("n"), F.count("*").alias("kinds")).where("n > 1")
+    return cut(nodes.join(total.select(*keys, (F.col("kinds") == 1).alias("alike")), keys), name)
+
+
+def _children(nodes: DataFrame, size: int, width: int, root: int) -> DataFrame:
+    """Nodes of width windows of those of size windows; low: the first of them, counted in the root node. A child's bucket
+    is named by the root's, low, and the strings by which its core exceeds the root's core."""
+    first, last = F.lit(root - 1) - F.length("rgt"), F.length("lft")  # the windows that the member has, in the root node
+    low = F.explode(F.sequence(F.greatest(F.col("low"), first - first % width), F.least(F.col("low") + size - 1, last), F.lit(width)))
+    out = nodes.select("k1", "k2", "kind", "doc", "s", "lft", "rgt", low.alias("low"))
+    sub = lambda c, a, n: F.substring(c, a, n)
+    more = F.lit(root - width) - F.col("low")
+    return out.select(
+        "k1", "k2", "kind", "doc", "s", "lft", "rgt", "low",
+        F.when(F.col("low") > 0, sub("lft", F.length("lft") - F.col("low") + 1, F.col("low"))).otherwise(F.lit(b"")).alias("before"),
+        sub("rgt", F.lit(1), more).alias("after"),
+        sub("lft", F.greatest(F.lit(1), F.length("lft") - F.col("low") - width + 2), F.least(F.lit(width - 1), F.length("lft") - F.col("low"))).alias("l2"),
+        sub("rgt", more + 1, F.lit(width - 1)).alias("r2"),
+    )
+
+
+def repeated_ranges(d: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(doc, kind, s, e): ranges of document doc that strings of lengths[kind] bytes cover which start elsewhere too.
+    d: doc (its key) and b (its bytes), each text once. lengths ascend."""
+    rows = cut(d.mapInArrow(tidy(_find_anchors(lengths)), _ROWS), "repeat-anchors")
+    found = [rows.where("kind > 0").select("doc", (F.col("kind") - 1).alias("kind"), F.col("place").alias("s"), F.col("code").alias("e"))]
+
+    anchors = rows.where("kind = 0").select("doc", "place", "code", "beyond", "context")
+    shared = anchors.groupBy("code").agg(F.count("*").alias("n"), (F.min("context") == F.max("context")).alias("alike")).where("n > 1").drop("n")
+    live = cut(anchors.join(shared, "code").withColumn("hop", F.col("place").bitwiseAND(255)), "repeat-live")
+
+    mixed = live.where("not alike")
+    twins = mixed.groupBy("code", "context").agg(F.count("*").alias("twins"), F.min("doc").alias("one"))
+    pointers = mixed.groupBy("code", "hop", "beyond").agg((F.count("*") > 1).alias("deep"))
+    state = mixed.join(twins, ["code", "context"]).join(pointers, ["code", "hop", "beyond"])
+    gap, core, _, _ = _sizes(lengths[0])
+    deep = F.col("deep") if lengths[-1] >= 2 * gap + core - 1 else F.lit(True)
+    state = state.select("doc", "place", (F.col("twins") > 1).alias("whole"), (F.col("doc") == F.col("one")).alias("split"), deep.alias("deep"))
+    no = F.lit(False)
+    state = state.where("whole or split").union(live.where("alike").select("doc", "place", F.lit(True), no, no))
+    lists = cut(state.groupBy("doc").agg(F.collect_list(F.struct("place", "whole", "split", "deep")).alias("some")), "repeat-lists")
+    nodes = cut(keep_ids(d, lists.select("doc"), "doc").join(lists, "doc").select("doc", "b", "some").mapInArrow(tidy(_nodes(lengths)), _NODES), "repeat-nodes")
+
+    ranges = lambda x, *cols: x.select("doc", *cols)
+    whole = nodes.where("kind < 0")
+    sure = whole.groupBy("k1", "k2", "kind").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    found.append(ranges(whole.join(sure, ["k1", "k2", "kind"], "left_semi"), (-1 - F.col("kind")).alias("kind"), "s", "e"))
+
+    root = size = _widths(lengths[0])[0]
+    some = _settle(nodes.where("kind >= 0"), ["k1", "k2", "kind"], ["lft", "rgt"], "repeat-blocks").withColumn("low", F.lit(0))
+    found.append(ranges(some.where("alike"), "kind", "s", "e"))
+    for width in _widths(lengths[0])[1:]:
+        some = _children(some.where("not alike"), size, width, root)
+        some = _settle(some, ["k1", "k2", "kind", "low", "before", "after"], ["l2", "r2"], f"repeat-{width}")
+        # its windows are the member's from low on, width at most
+        lowest, highest = F.greatest(F.col("low"), F.lit(root - 1) - F.length("rgt")), F.least(F.col("low") + width - 1, F.length("lft"))
+        at = lambda r: F.col("s") + F.length("lft") - r
+        length = F.element_at(F.array(*map(F.lit, lengths)), F.col("kind") + 1)
+        found.append(ranges(some.where("alike"), "kind", at(highest).alias("s"), (at(lowest) + length).alias("e")))
+        size = width
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return out
+
+
+def _cut_out(words: int, passages_too: bool):
+    token = re.compile(rb"[^\x20\x09-\x0D]+")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gap, q, unit = _sizes(length)
         for b in batches:
-            for i, text in enumerate(as_bytes(b["b"])):
-                ids = _Buckets(np.frombuffer(text, np.uint8), q, unit)
-                e = b["edges"][i].values
-                at, near, far = (e.field(k).to_numpy() for k in range(3))
-                n = far - near + 1
-                p = np.repeat(at - far, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                doc = np.full(len(p), b["doc"][i].as_py())
-                yield pa.RecordBatch.from_arrays([int64(ids.of(p, length)), int64(doc), int64(p)], ["w", "doc", "p"])
+            rows = []
+            for text, r in zip(as_bytes(b["b"]), b["ranges"], strict=True):
+                kind, s, e = (r.values.field(x).to_numpy() for x in range(3))
+                last = kind == 1
+                long = _merge(s[last], e[last])
+                runs = _merge(s[~last], e[~last])
+                many = np.fromiter((len(token.findall(text, i, j)) > words for i, j in zip(*map(np.ndarray.tolist, runs), strict=True)), bool, len(runs[0]))
+                runs = runs[0][many], runs[1][many]
+                s, e = _merge(*map(np.concatenate, zip(long, runs, strict=True))) if passages_too else long
+                keep = b"".join(text[i:j] for i, j in zip([0, *e.tolist()], [*s.tolist(), len(text)], strict=True))
+                rows.append((len(text), len(text) - len(keep), len(s), hashlib.sha256(keep).hexdigest(), int((runs[1] - runs[0]).sum()), keep))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            arrays = [b["own"], *(pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 3, pa.string(), pa.int64(), pa.binary()), strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, ["own", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "kept"])
 
     return run
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for text, r in zip(as_bytes(b["b"]), b["ranges"], strict=True):
-            s, e = _merge(r.values.field(0).to_numpy(), r.values.field(1).to_numpy())
-            keep = b"".join(text[i:j] for i, j in zip([0, *e.tolist()], [*s.tolist(), len(text)], strict=True))
-            rows.append((len(text), len(text) - len(keep), len(s), hashlib.sha256(keep).hexdigest(), keep))
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        arrays = [b["doc"], *(pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 3, pa.string(), pa.binary()), strict=True))]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int | None = None, words: int = WORDS, passages_too: bool = False) -> DataFrame:
+    """Per document: id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes and kept (the bytes left, as binary).
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Per document: id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left, as binary)."""
+    n_passage_bytes: bytes of runs that repeated strings of passage bytes (default: length) form and that hold more than
+    words words (``[^\\x20\\x09-\\x0D]+``, those at its edges included). passages_too: these are removed too."""
     bound_batches(docs.sparkSession)
-    if length < 8:
-        raise ValueError("length must be 8 at least")
-    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("b"))
-    digest = d.select("doc", F.octet_length("b").cast("long").alias("n"), F.sha2("b", 256).alias("h")).where((F.col("n") >= length) & F.col("doc").isNotNull())
+    passage = passage or length
+    if not 8 <= passage <= length:
+        raise ValueError("passage must be 8 at least and length at most")
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type")
+    kind = docs.schema[id_col].dataType.simpleString()
+    b = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    made = F.xxhash64(b).bitwiseAND(F.lit(KEYS - 1)).bitwiseOR(F.lit(KEYS))
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), made).alias("doc"), F.col(id_col).alias("own"), b.alias("b"))
+    digest = d.select("doc", "own", F.octet_length("b").cast("long").alias("n"), F.sha2("b", 256).alias("h")).where(F.col("n") >= passage)
     classes = cut(digest.groupBy("h").agg(F.min("doc").alias("doc"), F.count("*").alias("copies")), "repeat-classes")
-    copies = cut(digest.join(classes.where("copies > 1").select("h"), "h"), "repeat-copies").select("doc", "n")
-
-    found = keep_ids(d, classes.select("doc"), "doc").mapInArrow(tidy(_find_anchors(length)), _ROW_SCHEMA)
-    found = found.repartition("part").sortWithinPartitions("part", "kind", "bucket", "context")
-    state = cut(found.mapInArrow(tidy(_refine(length)), _ROW_SCHEMA), "repeat-state")
-
-    edges = state.where("kind = 2").groupBy("doc").agg(F.collect_list(F.struct("at", "near", "far")).alias("edges"))
-    texts = keep_ids(d, edges.select("doc"), "doc").dropDuplicates(["doc"])
-    windows = texts.join(edges, "doc").select("doc", "b", "edges").mapInArrow(tidy(_windows(length)), "w long, doc long, p long")
-    twice = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    more = windows.join(twice, "w", "left_semi").select("doc", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
-
-    ranges = state.where("kind = 1").select("doc", F.col("at").alias("s"), F.col("context").alias("e")).union(more)
-    lists = cut(ranges.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("ranges")), "repeat-ranges")
-    lists = drop_ids(lists, copies.select("doc"), "doc")
-    out = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    some = keep_ids(d, lists.select("doc"), "doc").join(lists, "doc").select("doc", "b", "ranges").mapInArrow(tidy(_cut_out), out)
-    rest = drop_ids(d, lists.select("doc").union(copies.select("doc")), "doc")
+    copies = keep_ids(d, cut(digest.join(classes.where("copies > 1").select("h"), "h").select("doc"), "repeat-copies"), "doc")
+
+    lengths = (passage, length) if passage < length else (length,)
+    once = keep_ids(d.select("doc", "b"), classes.where("copies = 1").select("doc"), "doc")
+    twice = keep_ids(d.select("doc", "b"), classes.where("copies > 1").select("doc"), "doc").dropDuplicates(["doc"])
+    found = repeated_ranges(once.union(twice), lengths)
+    if len(lengths) == 1:
+        found = found.union(found.withColumn("kind", F.lit(1)))
+    span = F.struct(F.col("kind"), "s", "e")
+    # copies: whole texts, if long enough for the length
+    whole = copies.select("doc", F.explode(F.array(F.lit(0), F.lit(1))).alias("kind"), F.lit(0).cast("long").alias("s"), F.octet_length("b").cast("long").alias("e")).where(F.col("e") >= F.when(F.col("kind") == 1, length).otherwise(passage)).distinct()
+    lists = cut(found.union(whole).groupBy("doc").agg(F.collect_list(span).alias("ranges")), "repeat-ranges")
+    out = f"own {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, kept binary"
+    some = keep_ids(d, lists.select("doc"), "doc").join(lists, "doc").select("own", "b", "ranges").mapInArrow(tidy(_cut_out(words, passages_too)), out)
+    rest = drop_ids(d, lists.select("doc"), "doc")
     zero = F.lit(0).cast("long")
-    rest = rest.select("doc", F.octet_length("b").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("b", 256).alias("kept_sha256"), F.col("b").alias("kept"))
-    gone = copies.select("doc", F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit(b"").alias("kept"))
-    return some.union(rest).union(gone).withColumnRenamed("doc", id_col)
+    rest = rest.select("own", F.octet_length("b").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("b", 256).alias("kept_sha256"), zero.alias("n_passage_bytes"), F.col("b").alias("kept"))
+    return some.union(rest).withColumnRenamed("own", id_col)
