@@ -1,6 +1,7 @@
 """The pipeline's stages, each held against a brute-force version on its own input."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -19,6 +20,9 @@ def tables(spark, tmp_path_factory):
     r = random.Random(9)
     word = lambda lang: "".join(r.choices(SYLLABLES[lang], k=r.randint(1, 4)))
     passage = " ".join(word("bb") for _ in range(90))  # over 400 bytes
+    shorter = " ".join((word("bb") + "abc")[:5] for _ in range(54))  # over 50 words in less than 400 bytes
+    fewer = " ".join("longish" + word("cc") for _ in range(18))  # over 256 bytes in less than 51 words
+    assert 256 < len(fewer.encode()) < 400 and 256 < len(shorter.encode()) < 400
     items = [(i, " ".join(word("cc") for _ in range(14))) for i in range(6)]
     rows = []
     for i in range(120):
@@ -26,6 +30,8 @@ def tables(spark, tmp_path_factory):
         w = [word(lang) for _ in range(r.randint(5, 160))]
         if i % 10 == 0:
             w[3:3] = passage.split()
+        if i % 10 in (3, 5):
+            w[3:3] = (shorter if i % 10 == 3 else fewer).split()
         if i % 9 == 0:
             w[2:2] = items[i % 6][1].split()
         text = " ".join(w)
@@ -63,18 +69,25 @@ def test_stages(spark, tables, tmp_path):
 
     before = {x[0]: x[1] for x in found["ngram_jaccard_join"]}
     raw = [(i, t.encode()) for i, t in sorted(before.items())]
-    seen = Counter(t[k : k + 400] for _, t in raw for k in range(len(t) - 399))
-    want = {}
+    seen = {n: Counter(t[k : k + n] for _, t in raw for k in range(len(t) - n + 1)) for n in (256, 400)}
+    want, runs = {}, []
     for i, t in raw:
-        gone = [False] * len(t)
-        for k in range(len(t) - 399):
-            if seen[t[k : k + 400]] > 1:
-                gone[k : k + 400] = [True] * 400
+        cover = {n: bytearray(len(t)) for n in seen}
+        for n, gone in cover.items():
+            for k in range(len(t) - n + 1):
+                if seen[n][t[k : k + n]] > 1:
+                    gone[k : k + n] = b"\x01" * n
+        gone = cover[400]
+        for m in re.finditer(rb"\x01+", cover[256]):
+            runs.append((m.end() - m.start(), len(t[m.start() : m.end()].split())))
+            if runs[-1][1] > 50:
+                gone[m.start() : m.end()] = m[0]
         text = bytes(x for x, y in zip(t, gone, strict=True) if not y).decode("utf-8", "ignore")
         if text.strip(" \t\n\v\f\r") or not any(gone):
             want[i] = text
     after = {x[0]: x[1] for x in found["suffix_array_dedup"]}
     assert after == want and any(len(after[i]) < len(before[i]) for i in after)
+    assert any(n < 400 and many > 50 for n, many in runs) and any(many <= 50 for _, many in runs)
     assert all(x[4] == len(x[1]) for x in found["suffix_array_dedup"])
 
     dirty = {x[0] for x in test_decontam.brute(list(after.items()), items) if x[5]}
