@@ -17,7 +17,7 @@ from tuplequarry.llm.decontam import find_benchmark
 from tuplequarry.llm.jaccard import near_duplicates
 from tuplequarry.llm.langid import identify, train
 from tuplequarry.llm.packing import pack_documents
-from tuplequarry.llm.suffix_dedup import remove_repeats
+from tuplequarry.llm.suffix_dedup import LENGTH, PASSAGE, WORDS, remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SURE_ENOUGH = 0.5
@@ -66,10 +66,11 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated substrings are cut out of the texts; a text of which nothing but white space is left goes.
 
-    Cuts fall between bytes; half characters at their edges are left out of the text."""
+    Cut are the bytes of repeated strings of LENGTH bytes, and of passages (runs of repeated strings of PASSAGE bytes) of
+    more than WORDS words. Cuts fall between bytes; half characters at their edges are left out of the text."""
     _begin(spark, "repeats")
     docs = _keyed(docs)
-    out = remove_repeats(docs)
+    out = remove_repeats(docs, length=LENGTH, passage=PASSAGE, words=WORDS, passages_too=True)
     changed = cut(out.where("n_removed > 0").select("doc_id", "kept"), "pipeline-cut")
     same = _own(drop_ids(docs, changed.select("doc_id"), "doc_id"))
     kept = F.col("kept").cast("string")
