@@ -139,3 +139,31 @@ def test_storage_relation_is_found_by_pointers(spark, tmp_path):
     for direct in (1 << 30, 0):
         rows = {r.doc_id: r for r in api.heap_table(spark, str(tmp_path / "100"), table=cols, meta=True, direct_toast_bytes=direct).collect()}
         assert rows[1].text == big.decode() and rows[2].text == "small" and rows[3].text is None and rows[3]._decode_status == "text:TOAST_CORRUPT"
+
+
+def test_out_of_line_join_scans_once(spark):
+    """Twenty columns of variable length, one scan of the relation and one of its storage."""
+    df = queries.toast_many_columns_join(spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RelationV2") == 2 and plan.count("Join LeftOuter") == 1
+
+
+def test_format_refuses_large_storage(spark):
+    from tuplequarry.sources.pgheap import ensure_registered
+
+    path, store = queries._toasted(spark, SF, None)
+    read = ensure_registered(spark).read.format("pgheap").option("path", path).option("columns", queries.DOCUMENTS.to_json()).option("toastPath", store)
+    assert read.load().where("length(text) > 1996").count() > 0
+    with pytest.raises(Exception, match="directToastBytes"):
+        read.option("directToastBytes", "1000").load().collect()
+
+
+def test_system_oids(spark):
+    """Up to version 11 a row's oid is in its header."""
+    from tuplequarry.plans.catalog import catalog_frame
+    from tuplequarry.plans.discovery import find_catalog
+
+    root = queries._datadir(spark, 11)
+    path = find_catalog(f"{root}/base/{queries.DB}", "pg_class", 11)
+    rows = catalog_frame(spark, path, "pg_class", 11).select("oid", "_oid", "relname").collect()
+    assert {r.relname for r in rows if r.oid == 1259} == {"pg_class"} and all(r.oid == r._oid for r in rows)

@@ -6,7 +6,8 @@
 
 Options of the ``pgheap`` format and keyword arguments here are the same: path, datadir, db_oid (dbOid), table,
 meta_json (catalogJson), columns, rows (live, deleted, all), fields, mode (typed, text), scan (itemid, carve, auto),
-page_size (pageSize), pg_version (pgVersion), fork, encoding, toast (toastPath), max_rows, meta, pages_per_partition.
+page_size (pageSize), pg_version (pgVersion), fork, encoding, toast (toastPath), max_rows, meta, pages_per_partition,
+direct_toast_bytes (directToastBytes). The format cannot join: it refuses a storage relation of more bytes than that.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .streaming.pages import stream_plan
 
 __all__ = ["count", "csv", "ddl", "export_metadata", "heap_table", "inserts", "list_databases", "list_files", "list_tables", "load_metadata", "item_report", "page_report", "plan_of", "save", "stream_table"]
 
-ALIASES = {"dbOid": "db_oid", "catalogJson": "meta_json", "pageSize": "page_size", "pgVersion": "pg_version", "toastPath": "toast", "maxRows": "max_rows", "pagesPerPartition": "pages_per_partition"}
+ALIASES = {"dbOid": "db_oid", "catalogJson": "meta_json", "pageSize": "page_size", "pgVersion": "pg_version", "toastPath": "toast", "maxRows": "max_rows", "pagesPerPartition": "pages_per_partition", "directToastBytes": "direct_toast_bytes"}
 
 
 def load_metadata(path: str | None = None, meta_json: str | None = None, datadir: str | None = None, db_oid: int | None = None) -> tuple[list[Table], dict]:
@@ -69,7 +70,8 @@ def plan_of(path: str, table: str | Table | None = None, meta_json: str | None =
 
 def plan_of_options(options: dict) -> Plan:
     """From the options of the data source, all of them strings."""
-    o = {ALIASES.get(k, k): v for k, v in options.items()}
+    short = {k.lower(): v for k, v in ALIASES.items()}  # Spark hands options on in lower case
+    o = {short.get(k.lower(), k.lower()): v for k, v in options.items()}
     flag = lambda x: str(x).lower() in ("true", "1", "yes")
     kw = {k: o[k] for k in ("path", "table", "meta_json", "datadir", "rows", "mode", "scan", "encoding", "toast") if k in o}
     kw |= {k: int(o[k]) for k in ("db_oid", "page_size", "pg_version", "max_rows") if k in o}
@@ -79,11 +81,14 @@ def plan_of_options(options: dict) -> Plan:
     if "columns" in o:
         kw["table"] = Table.from_json(o["columns"])
     plan = plan_of(**kw)
-    return replace(plan, scan="itemid") if plan.scan == "auto" else plan
+    return replace(plan, toast_bytes=int(o["direct_toast_bytes"])) if "direct_toast_bytes" in o else plan
 
 
 def find_toast(path: str, ctx: Context) -> str | None:
-    """The storage relation that pointers in the first pages name, if its file is beside the relation and has chunks."""
+    """The storage relation that pointers in the first pages name, if its file is beside the relation and has chunks.
+
+    So that a large one is known early enough to be joined; where the first pages have no pointer, readers find the
+    relation by the pointers that they meet."""
     if not any(c.size == -1 for c in ctx.table.columns):
         return None
     b = read_range(path, 0, 8 * ctx.page_size)
@@ -109,7 +114,8 @@ def _load(spark: SparkSession, path: str, plan: Plan, per: int) -> DataFrame:
 
 
 def heap_table(spark: SparkSession, path: str, pages_per_partition: int = PAGES_PER_PARTITION, direct_toast_bytes: int = toast.DIRECT_BYTES, **options) -> DataFrame:
-    """A relation's rows. scan="auto" reads by line pointers, and carves if no row with a value is found that way.
+    """A relation's rows. scan="auto" reads by line pointers and carves the pages on which they lead to nothing, or all
+    pages if no row with a value is found by line pointers.
 
     Out-of-line values: a storage relation of up to direct_toast_bytes is loaded by each reader, a larger one is joined."""
     plan = plan_of(path, **options)
@@ -118,7 +124,8 @@ def heap_table(spark: SparkSession, path: str, pages_per_partition: int = PAGES_
         some = replace(plan_of(path, **options | {"fields": None}), scan="itemid", meta=False, max_rows=0, toast="")
         seen = _load(spark, path, some, pages_per_partition)
         has_value = F.coalesce(*[F.col(export.identifier_path(c)).cast("string") for c in seen.columns], F.lit("")) != ""
-        plan = replace(plan, scan="itemid" if seen.where(has_value).take(1) else "carve")
+        plan = replace(plan, scan="auto" if seen.where(has_value).take(1) else "carve")
+    plan = replace(plan, toast_bytes=direct_toast_bytes)
     if plan.toast and size_of(plan.toast) > direct_toast_bytes:
         wanted = [n for n, _ in plan.fields()]
         df = _load(spark, path, replace(plan, pointers=True, toast=""), pages_per_partition)

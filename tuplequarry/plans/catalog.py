@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..files import listing, relation_files, size_of
-from ..layout import CATALOGS, KINDS, Context, catalog_table
+from ..layout import CATALOGS, KINDS, Context, catalog_table, major
 from ..sources.pgheap import ensure_registered, plan_to_json
 from ..sources.scan import Plan, probe
 from .discovery import carved_classes, database_dir, find_catalog, is_fork, root_of, version_of
 
 
+WITH_OID = ("pg_class", "pg_namespace", "pg_type", "pg_authid", "pg_database", "pg_enum")
+
+
 def catalog_frame(spark: SparkSession, path: str, name: str, version: int = 16, fork: bool = False, encoding: str = "utf-8", rows: str = "live") -> DataFrame:
-    """A system catalog's leading columns, with the header columns of its tuples."""
+    """A system catalog's leading columns, with the header columns of its tuples; oid comes from there up to version 11."""
     ensure_registered(spark)
     size, psv = probe(path)
-    plan = Plan(Context(catalog_table(name, version, fork), size, psv, version, fork, encoding), rows=rows, meta=True)
-    return spark.read.format("pgheap").option("path", path).option("plan", plan_to_json(plan)).load()
+    plan = Plan(Context(catalog_table(name, version, fork), size, psv, major(version), fork, encoding), rows=rows, meta=True)
+    df = spark.read.format("pgheap").option("path", path).option("plan", plan_to_json(plan)).load()
+    return df.withColumn("oid", F.col("_oid")) if "oid" not in df.columns and name in WITH_OID else df
 
 
 def _frame(spark: SparkSession, directory: str, name: str, version: int, fork: bool, fallback: str) -> DataFrame:

@@ -261,8 +261,8 @@ def fork_page_version(spark, sf_dir):
     return api.heap_table(spark, lineitem(spark, sf_dir, "lineitem_v5", version=5, special=16), table=LINEITEM, pages_per_partition=64)
 
 
-def _damaged(spark: SparkSession, sf_dir: str, wipe: Callable[[bytearray, int], None], key: str) -> str:
-    whole = encoded(spark, sf_dir, ORDERS)
+def _damaged(spark: SparkSession, sf_dir: str, wipe: Callable[[bytearray, int], None], key: str, table: Table = ORDERS) -> str:
+    whole = encoded(spark, sf_dir, table)
 
     def write(path: str) -> None:
         with open(whole, "rb") as f:
@@ -293,6 +293,36 @@ def bad_page_list(spark, sf_dir):
     return api.page_report(spark, _damaged(spark, sf_dir, _every_fifth, "orders_bad")).where("not valid").select("page", "zero")
 
 
+# Rows of one size: 24 bytes of header, 40 of values and 4 of line pointer make 120 a page of 8,168.
+FIXED = relation("lineitem", "l_orderkey:int8 l_partkey:int8 l_suppkey:int8 l_quantity:float8 l_tax:float8")
+_FIXED_SQL = "select l_orderkey, l_partkey, l_suppkey, l_quantity, l_tax, (row_number() over (order by l_orderkey, l_partkey, l_suppkey, l_quantity, l_tax) - 1) // 120 as page from lineitem"
+
+
+def _fixed(spark: SparkSession, sf_dir: str) -> str:
+    names = [c.name for c in FIXED.columns]
+    encoded(spark, sf_dir, FIXED, order=names)
+    return _damaged(spark, sf_dir, _every_fifth, "fixed_bad", FIXED)
+
+
+@query(f"select * from ({_FIXED_SQL}) where page % 5 <> 4")
+def bad_page_rows(spark, sf_dir):
+    """As bad_page_skip, with rows of one size, so that SQL knows each row's page."""
+    df = api.heap_table(spark, _fixed(spark, sf_dir), table=FIXED, meta=True)
+    return df.select(*[c.name for c in FIXED.columns], F.col("_page").alias("page"))
+
+
+@query(f"select distinct page from ({_FIXED_SQL}) where page % 5 = 4")
+def bad_page_numbers(spark, sf_dir):
+    return api.page_report(spark, _fixed(spark, sf_dir)).where("not valid").select("page")
+
+
+@query(f"select count(*) filter (page % 5 <> 4) as pages_ok, count(*) filter (page % 5 = 4) as bad_pages, cast(sum(n) filter (page % 5 <> 4) as bigint) as items from (select page, count(*) as n from ({_FIXED_SQL}) group by page)")
+def scan_counters(spark, sf_dir):
+    path = _fixed(spark, sf_dir)
+    pages = api.page_report(spark, path).agg(F.count_if("valid").alias("pages_ok"), F.count_if(~F.col("valid")).alias("bad_pages"))
+    return pages.join(api.item_report(spark, path).where("lp_flags = 1").agg(F.count("*").alias("items")))
+
+
 def _lose_pointers(page: bytearray, k: int) -> None:
     (lower,) = struct.unpack_from("<H", page, 12)
     page[24:lower] = bytes(lower - 24)
@@ -309,6 +339,22 @@ def carve_auto(spark, sf_dir):
     return api.heap_table(spark, _damaged(spark, sf_dir, _lose_pointers, "orders_carve"), table=ORDERS, scan="auto")
 
 
+@query("select * from orders")
+def carve_auto_format(spark, sf_dir):
+    """The data source itself falls back to carving."""
+    from .sources.pgheap import ensure_registered
+
+    path = _damaged(spark, sf_dir, _lose_pointers, "orders_carve")
+    return ensure_registered(spark).read.format("pgheap").option("path", path).option("columns", ORDERS.to_json()).option("scan", "auto").load()
+
+
+@query("select * from orders")
+def carve_mixed_pages(spark, sf_dir):
+    """Every third page has lost its line pointers; the others are read by theirs."""
+    path = _damaged(spark, sf_dir, lambda page, k: _lose_pointers(page, k) if k % 3 == 1 else None, "orders_mixed")
+    return api.heap_table(spark, path, table=ORDERS, scan="auto")
+
+
 @query("select (select count(*) from orders) as n, 1 as flags")
 def item_pointers(spark, sf_dir):
     return api.item_report(spark, encoded(spark, sf_dir, ORDERS)).where("lp_flags = 1").agg(F.count("*").alias("n"), F.max("lp_flags").cast("int").alias("flags"))
@@ -339,8 +385,10 @@ def _toasted(spark: SparkSession, sf_dir: str, method: str | None, faults: bool
     def write(path: str) -> None:
         rows, chunks = [], []
         for doc, text, lang in rows_of(spark, sf_dir, "documents", ["doc_id", "text", "lang"]):
-            raw = text.encode()
-            if len(raw) > 1996:
+            raw = None if text is None else text.encode()
+            if raw is None:
+                value = None
+            elif len(raw) > 1996:
                 data = struct.pack("<I", len(raw) | (1 << 30 if method == "lz4" else 0)) + getattr(enc, method)(raw) if method else raw
                 if method and len(data) >= len(raw):
                     data = raw
@@ -383,9 +431,9 @@ def _whole(spark: SparkSession, sf_dir: str, key: str, datum: Callable[[bytes],
         def rows():
             # one partition at a time, as the driver may not hold all texts
             for doc, text, lang in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").orderBy("doc_id").toLocalIterator():
-                raw = raw_of(text)
-                value = datum(raw)
-                if len(value) > FITS:
+                raw = None if text is None else raw_of(text)
+                value = None if raw is None else datum(raw)
+                if value is not None and len(value) > FITS:
                     small = isinstance(value, enc.Datum)  # a compressed one's header goes, its size and method stay
                     data = value[4:] if small else raw
                     chunks.append((100_000 + doc, data))
@@ -399,7 +447,7 @@ def _whole(spark: SparkSession, sf_dir: str, key: str, datum: Callable[[bytes],
     return path, path + ".toast"
 
 
-def _inline(method: str, select: Callable) -> Query:
+def _inline(method: str) -> Query:
     """Every value compressed where that makes it smaller, in its row where it fits."""
 
     def datum(raw: bytes) -> bytes:
@@ -408,14 +456,67 @@ def _inline(method: str, select: Callable) -> Query:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path, store = _whole(spark, sf_dir, f"documents_inline_{method}", datum)
-        return select(api.heap_table(spark, path, table=DOCUMENTS, toast=store))
+        return api.heap_table(spark, path, table=DOCUMENTS, toast=store)
 
     return run
 
 
 for _m in ("pglz", "lz4"):
-    query("select doc_id, substr(text, 1, 1500) as text, lang from documents", f"inline_compressed_{_m}")(_inline(_m, lambda df: df.select("doc_id", F.substring("text", 1, 1500).alias("text"), "lang")))
-    query("select doc_id, text, lang from documents", f"inline_compressed_{_m}_whole")(_inline(_m, lambda df: df))
+    query("select doc_id, text, lang from documents", f"inline_compressed_{_m}")(_inline(_m))
+
+
+MANY = relation("documents", "doc_id:int8 " + " ".join(f"t{k}:text" for k in range(20)))
+
+
+@query("select doc_id, " + ", ".join(f"case when doc_id % 5 <> {k % 5} then text || '{k}' end as t{k}" for k in range(20)) + " from documents")
+def toast_many_columns_join(spark, sf_dir):
+    """Twenty columns of variable length, values out of line in all of them, and rows of nulls and short values between."""
+
+    def write(path: str) -> None:
+        chunks: list[tuple[int, bytes]] = []
+
+        def rows():
+            for doc, text in rows_of(spark, sf_dir, "documents", ["doc_id", "text"]):
+                out: list = [doc]
+                for k in range(20):
+                    raw = None if text is None or doc % 5 == k % 5 else f"{text}{k}".encode()
+                    if raw is not None and len(raw) > 300:
+                        chunks.append((20 * doc + k + 1, raw))
+                        raw = enc.Datum(enc.pointer(len(raw) + 4, len(raw), 20 * doc + k + 1, 90_001, 0))
+                    out.append(raw)
+                yield tuple(out)
+
+        enc.write_relation(path, MANY.columns, rows())
+        enc.write_toast(path + ".toast", chunks)
+
+    path = written(spark, sf_dir, "documents_many", write)
+    return api.heap_table(spark, path, table=MANY, toast=path + ".toast", direct_toast_bytes=0)
+
+
+@query("select doc_id, text, lang from documents union all select doc_id + 1000000000 * (k + 1) as doc_id, 'x' as text, 'en' as lang from documents cross join range(10) r(k)")
+def toast_found(spark, sf_dir):
+    """Neither catalog nor caller names the storage relation, and the first pages hold no pointer."""
+
+    def write(path: str) -> None:
+        chunks: list[tuple[int, bytes]] = []
+
+        def rows():
+            docs = rows_of(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+            for k in range(10):
+                for doc, _, _ in docs:
+                    yield doc + 1_000_000_000 * (k + 1), "x", "en"
+            for doc, text, lang in docs:
+                raw = None if text is None else text.encode()
+                if raw is not None and len(raw) > 1996:
+                    chunks.append((100_000 + doc, raw))
+                    raw = enc.Datum(enc.pointer(len(raw) + 4, len(raw), 100_000 + doc, 90_001, 0))
+                yield doc, raw, lang
+
+        os.makedirs(path, exist_ok=True)
+        enc.write_relation(f"{path}/24576", DOCUMENTS.columns, rows())
+        enc.write_toast(f"{path}/90001", chunks)
+
+    return api.heap_table(spark, written(spark, sf_dir, "documents_found", write) + "/24576", table=DOCUMENTS)
 
 
 @query("select doc_id, case when doc_id % 9 = 0 and strlen(text) > 1996 then 'text:TOAST_MISSING' end as status from documents")
@@ -545,18 +646,17 @@ def enum_decode(spark, sf_dir):
     return api.heap_table(spark, encoded(spark, sf_dir, t, "events_enum", source="events", change=change), table=t)
 
 
-def _in_encoding(codec: str, select: Callable) -> Query:
+def _in_encoding(codec: str) -> Query:
     """A text with a character that the encoding lacks is an error: no relation of that encoding can hold it."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path, store = _whole(spark, sf_dir, f"documents_{codec}", lambda raw: raw, lambda text: text.encode(codec))
-        return select(api.heap_table(spark, path, table=DOCUMENTS, encoding=codec, toast=store))
+        return api.heap_table(spark, path, table=DOCUMENTS, encoding=codec, toast=store)
 
     return run
 
 
-query("select doc_id, cast(length(substr(text, 1, 800)) as integer) as n, substr(text, 1, 40) as text from documents", "encoding_latin1")(_in_encoding("latin-1", lambda df: df.select("doc_id", F.length(F.substring("text", 1, 800)).alias("n"), F.substring("text", 1, 40).alias("text"))))
-query("select doc_id, text, lang from documents", "encoding_latin1_whole")(_in_encoding("latin-1", lambda df: df))
+query("select doc_id, text, lang from documents", "encoding_latin1")(_in_encoding("latin-1"))
 
 
 @query("select conv_id, turn, text from conversations")
@@ -710,19 +810,37 @@ def _values(rows: list[tuple], names: str) -> str:
 _TABLE_ROWS = [(BASE + i, "public", t.name, BASE if i == 0 else BASE + 100 + i, len(t.columns)) for i, t in enumerate(CATALOG_TABLES)]
 
 
-@query("select oid::bigint as oid, \"schema\", \"table\", relfilenode::bigint as relfilenode, n_columns from (" + _values(_TABLE_ROWS, 'oid, "schema", "table", relfilenode, n_columns') + ")")
-def cat_list_tables(spark, sf_dir):
-    return api.list_tables(spark, _datadir(spark), DB).where("schema = 'public'").select("oid", "schema", "table", "relfilenode", "n_columns")
+_SQL_LIST_TABLES = "select oid::bigint as oid, \"schema\", \"table\", relfilenode::bigint as relfilenode, n_columns from (" + _values(_TABLE_ROWS, 'oid, "schema", "table", relfilenode, n_columns') + ")"
+
+
+def cat_list_tables(spark, sf_dir, version=16):
+    return api.list_tables(spark, _datadir(spark, version), DB).where("schema = 'public'").select("oid", "schema", "table", "relfilenode", "n_columns")
+
+
+query(_SQL_LIST_TABLES)(cat_list_tables)
+query(_SQL_LIST_TABLES, "cat_list_tables_11")(lambda spark, sf_dir: cat_list_tables(spark, sf_dir, 11))
+
+
+_SQL_LIST_FILES = _values([(1259, "pg_class"), (1249, "pg_attribute"), (2615, None), (3501, None), (2610, None)], "relfilenode, relname").replace("select *", "select relfilenode::bigint as relfilenode, relname")
+
+
+def cat_list_files(spark, sf_dir, version=16):
+    return api.list_files(spark, _datadir(spark, version), DB).select("relfilenode", "relname")
+
+
+query(_SQL_LIST_FILES)(cat_list_files)
+query(_SQL_LIST_FILES, "cat_list_files_11")(lambda spark, sf_dir: cat_list_files(spark, sf_dir, 11))
+
+
+_SQL_LIST_DATABASES = _values([(DB, "shop", 1), (5, "postgres", 0)], "oid, name, d").replace("select *", "select oid::bigint as oid, name, d = 1 as has_directory")
 
 
-@query(_values([(1259, "pg_class"), (1249, "pg_attribute"), (2615, None), (3501, None), (2610, None)], "relfilenode, relname").replace("select *", "select relfilenode::bigint as relfilenode, relname"))
-def cat_list_files(spark, sf_dir):
-    return api.list_files(spark, _datadir(spark), DB).select("relfilenode", "relname")
+def cat_list_databases(spark, sf_dir, version=16):
+    return api.list_databases(spark, _datadir(spark, version)).select("oid", "name", "has_directory")
 
 
-@query(_values([(DB, "shop", 1), (5, "postgres", 0)], "oid, name, d").replace("select *", "select oid::bigint as oid, name, d = 1 as has_directory"))
-def cat_list_databases(spark, sf_dir):
-    return api.list_databases(spark, _datadir(spark)).select("oid", "name", "has_directory")
+query(_SQL_LIST_DATABASES)(cat_list_databases)
+query(_SQL_LIST_DATABASES, "cat_list_databases_11")(lambda spark, sf_dir: cat_list_databases(spark, sf_dir, 11))
 
 
 _COLUMNS_SQL = "select c.\"table\", c.attnum, c.name, c.type_oid::bigint as type_oid from (" + _values([(t.name, k + 1, c.name, c.type_oid) for t in CATALOG_TABLES for k, c in enumerate(t.columns)], '"table", attnum, name, type_oid') + ") c"
@@ -735,9 +853,8 @@ def _columns(spark: SparkSession, version: int, fork: bool = False) -> DataFrame
 
 query(_COLUMNS_SQL, "cat_columns")(lambda spark, sf_dir: _columns(spark, 16))
 for _version in (11, 12, 14, 16, 17, 18):
-    query(_COLUMNS_SQL, f"version_layout_{_version}")(
-        (lambda spark, sf_dir, v=_version: _columns(spark, v)) if _version >= 12 else (lambda spark, sf_dir, v=_version: _discovered(spark, v, False))
-    )
+    query(_COLUMNS_SQL, f"version_layout_{_version}")(lambda spark, sf_dir, v=_version: _columns(spark, v))
+query(_COLUMNS_SQL, "version_layout_11_discovered")(lambda spark, sf_dir: _discovered(spark, 11, False))
 query(_COLUMNS_SQL, "version_layout_fork")(lambda spark, sf_dir: _columns(spark, 12, True))
 
 

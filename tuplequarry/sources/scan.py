@@ -9,12 +9,13 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 
-from ..files import read_range, segments
+from ..files import parent, read_range, segments, size_of
 from ..kernel.columns import POINTER, Columnar, arrow_type, spark_type
-from ..kernel.scan import PLAIN, carve_tuples, item_tuples, page_layout, read_pages, visibility, walk
+from ..kernel.scan import HASOID_OLD, PLAIN, Pages, Tuples, carve_tuples, item_tuples, page_layout, read_pages, u32, visibility, walk
 from ..layout import PAGE_SIZES, TOAST, Context
 
 CHUNK_PAGES = 512
+DIRECT_BYTES = 64 << 20  # up to this size each reader loads a storage relation itself
 META = {
     "_page": "bigint",
     "_lp": "int",
@@ -27,6 +28,7 @@ META = {
     "_live": "boolean",
     "_deleted": "boolean",
     "_decode_status": "string",
+    "_oid": "bigint",  # of the row, where tuple headers have one (up to version 11)
 }
 
 
@@ -36,11 +38,12 @@ class Plan:
 
     ctx: Context
     rows: str = "live"  # live, deleted, all (both)
-    scan: str = "itemid"  # itemid, carve
+    scan: str = "itemid"  # itemid, carve, auto (carve the pages on which line pointers lead to nothing)
     meta: bool = False
     pointers: bool = False  # hand out-of-line pointers on, in columns of their own
     toast: str = ""  # relation file with the chunks
     max_rows: int = 0  # of one range of pages; 0: all
+    toast_bytes: int = DIRECT_BYTES  # that a storage relation may have to be loaded by readers
 
     def fields(self) -> list[tuple[str, str]]:
         """Names and Spark types of the result."""
@@ -96,6 +99,22 @@ def assembled(parts: list[tuple[int, bytes]]) -> bytes | None:
     return b"".join(by.values()) if list(by) == list(range(len(by))) else None
 
 
+def storage(plan: Plan, path: str):
+    """What gives readers the data of an out-of-line pointer: from the storage relation that the plan names, else from the
+    one that the pointer itself names, if its file lies beside the relation."""
+
+    def load(file: str) -> dict[int, bytes | None]:
+        if (n := sum(size for _, size in segments(file))) > plan.toast_bytes:
+            raise ValueError(f"storage relation {file} has {n} bytes, more than the {plan.toast_bytes} that readers load: read by api.heap_table, which joins it, or raise directToastBytes")
+        return load_chunks(file)
+
+    def data(pointer: dict) -> bytes | None:
+        file = plan.toast or f"{parent(path)}/{pointer['toastrelid']}"
+        return load(file).get(pointer["valueid"]) if size_of(file) > 0 else None
+
+    return data
+
+
 def load_chunks(path: str) -> dict[int, bytes | None]:
     """All values of a storage relation, kept for the process: for relations of a checked size only."""
     cache = sys.__dict__.setdefault("_tuplequarry_toast", {})
@@ -119,6 +138,12 @@ def decode(b: np.ndarray, first_page: int, plan: Plan, columnar: Columnar) -> pa
         t = carve_tuples(b, pages, size, columns, ctx.pg_version, ctx.psv_offset)
     else:
         t = item_tuples(b, pages, size, ctx.psv_offset)
+        if plan.scan == "auto" and len(bare := np.setdiff1d(np.flatnonzero(pages.valid), t.page)):
+            left = np.zeros(len(pages.valid), bool)
+            left[bare] = True
+            lost = carve_tuples(b, Pages(left, pages.zero, pages.lower, pages.upper, pages.special), size, columns, ctx.pg_version, ctx.psv_offset, True)
+            t = Tuples(*(np.concatenate([getattr(x, f) for x in (t, lost)]) for f in Tuples.__dataclass_fields__))
+            t = t.take(np.argsort(t.page, kind="stable"))
     aborted, deleted = visibility(t.infomask, t.xmax)
     keep = {"live": ~aborted & ~deleted, "deleted": deleted, "all": ~aborted}[plan.rows]
     t, deleted = t.take(keep), deleted[keep]
@@ -140,7 +165,9 @@ def decode(b: np.ndarray, first_page: int, plan: Plan, columnar: Columnar) -> pa
         place = np.where(t.lp > 0, t.lp, pos)
         status = [";".join(problems[i]) if i in problems else None for i in range(len(t))] if problems else [None] * len(t)
         ctid = pa.array([f"({p},{k})" for p, k in zip(page.tolist(), place.tolist(), strict=True)])
-        values_ = (page, t.lp, pos, ctid, t.xmin, t.xmax, t.infomask, t.infomask2, ~deleted, deleted, status)
+        has_oid = (t.infomask & HASOID_OLD != 0) & (ctx.pg_version < 12)
+        oid = pa.array(u32(b, t.start + t.hoff - 4), pa.int64(), mask=~has_oid)
+        values_ = (page, t.lp, pos, ctid, t.xmin, t.xmax, t.infomask, t.infomask2, ~deleted, deleted, status, oid)
         arrays += [x if isinstance(x, pa.Array) else pa.array(x, arrow_type(k)) for x, k in zip(values_, META.values(), strict=True)]
     names = [n for n, _ in plan.fields()]
     if not arrays:
@@ -150,12 +177,7 @@ def decode(b: np.ndarray, first_page: int, plan: Plan, columnar: Columnar) -> pa
 
 def scan_range(plan: Plan, name: str, before: int, start: int, stop: int) -> Iterator[pa.RecordBatch]:
     size, left = plan.ctx.page_size, plan.max_rows
-    toast = None
-    if plan.toast and not plan.pointers:
-        chunks = load_chunks(plan.toast)
-        toast = lambda p: chunks.get(p["valueid"])
-    elif not plan.pointers:
-        toast = lambda p: None
+    toast = None if plan.pointers else storage(plan, name)
     columnar = Columnar(plan.ctx, toast)
     for k in range(start, stop, CHUNK_PAGES):
         n = min(CHUNK_PAGES, stop - k)
