@@ -10,13 +10,13 @@ In the same run, *passages* are found: runs of repeated strings of ``passage`` b
   bucket has no repeated window and goes.
 * Refinement by pointers: a window of the greater length also contains the next anchor with its bucket, so buckets are
   refined by (distance to the next anchor, bucket there); anchors left alone have no repeated window of that length.
-* Refinement by what lies around: an anchor's windows form a tree (all of them, then 16, 4 and 1 neighbours). A node's
+* Refinement by what lies around: an anchor's windows form a tree (all of them, then 64, 16, 4 and 1 neighbours). A node's
   members share its core, the bytes that all its windows contain; its children's buckets are named by the node's bucket
   and the strings by which their cores exceed it. A member alone in a bucket goes, a bucket in which all windows agree is
   settled (all repeat), and the others are refined, down to single windows.
 
-Codes of 64 bits only leave things out. What is removed was found equal either byte by byte (inside a batch, and strings
-of the last two rounds) or by a 128-bit BLAKE2 digest of the very bytes.
+Codes of 64 bits only leave things out. What is removed was found equal either byte by byte (inside a batch, and the strings around cores
+in the later rounds) or by a 128-bit BLAKE2 digest of the very bytes.
 
 Skew: exact copies of documents are reduced to one beforehand (aggregated by digest); equal contexts are reduced to one
 row in each batch before the shuffle; buckets are only ever counted, with map-side combining, and joined with their
@@ -44,7 +44,7 @@ from .common import as_bytes, bound_batches, byte_codes, cut, drop_ids, int64, k
 
 LENGTH, PASSAGE, WORDS = 400, 256, 50  # 256 bytes: less than 51 words of any language here take
 WIDEST = 128  # windows of an anchor, at most
-BLOCKS = (16, 4, 1)  # windows of a node after each round; those beyond an anchor's windows are left out
+BLOCKS = (64, 16, 4, 1)  # windows of a node after each round; those beyond an anchor's windows are left out
 KEYS = 1 << 62  # where keys of rows without id begin
 
 
