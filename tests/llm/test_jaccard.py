@@ -51,6 +51,9 @@ def test_against_brute_force(spark, seed):
     got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in near_duplicates(df).collect())
     want = brute(docs)
     assert got == want
+    # hot tokens dealt over salts, large buckets refined by all orders
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in near_duplicates(df, hot=3, few=2).collect())
+    assert got == want
     assert len({c for _, _, c in want}) < len(want) - 40
 
 
@@ -81,3 +84,16 @@ def test_all_links_of_a_group(spark):
     got = [tuple(x) for x in near_duplicate_links(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()]
     assert set(got) == want and len(got) == len(want) and len(want) > len(shingles)
     assert len({x for p in want for x in p}) < len(shingles)
+
+
+def test_a_token_in_thousands_of_unlike_documents(spark):
+    """One short passage opens documents that have nothing else in common; among them a few near copies. Very long texts."""
+    r = random.Random(7)
+    words = lambda n: [f"q{r.randrange(10**9)}" for _ in range(n)]
+    docs = [(i, " ".join([*"the very same five words here".split(), *words(12)])) for i in range(3000)]
+    docs += [(5000 + i, docs[i][1] + " end") for i in range(0, 3000, 100)]
+    long = words(60_000)
+    docs += [(9000, " ".join(long)), (9001, " ".join(long[500:])), (9002, " ".join(words(30_000)))]
+    got = {x.doc_id: x.component_id for x in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), few=20, hot=500).collect()}
+    want = {i: i for i, _ in docs} | {5000 + i: i for i in range(0, 3000, 100)} | {9001: 9000}
+    assert got == want

@@ -5,15 +5,22 @@ A document's set is its distinct ``shingle``-word shingles (64-bit hashes) of lo
 lost, and groups of copies are never expanded into pairs.
 
 * Equal sets are one class, found by aggregation; its smallest id stands for it.
-* Orders: the first two sort tokens by their frequency over all documents (two count-min rows of fixed width, merged by
-  adding) and break ties by two different hashes; the third by hash alone. Under any fixed order, similar sets share a
-  token among their first ``n - ceil(n * percent / 100) + 1``. Candidates share a prefix token of the first order (join),
-  pass length and positional bounds, and must share prefix tokens of the second and third order too; only then are the
-  sets intersected.
+* Orders: the first sorts tokens by their frequency over all documents (two count-min rows of fixed width, merged by
+  adding; ties by a hash). A hash bit parts all tokens in two halves; the second order puts one half first and the third
+  the other, each by frequency. Under any fixed order, similar sets share a token among their first
+  ``n - ceil(n * percent / 100) + 1``, so they share a rare token overall, one of the one half and one of the other.
+* Candidates share a prefix token of the first order (an index of these tokens), pass length and positional bounds, and
+  are then held against the second and third filter by joins with the documents' prefixes (32-bit hashes). Texts move
+  only for pairs that pass all three.
 * Near copies without all pairs: in the bucket of each token the smallest id leads. First every document is compared
   with its leaders only, and the links make components. Then buckets that still hold several components are compared
   across components only, each pair of different components at least once. Pairs inside a component need no comparing.
   ``near_duplicate_links`` compares these too and gives all links.
+* Tokens that may be in more than ``hot`` documents (the sketch never counts too few) have their bucket dealt over
+  salts, each with a leader, and the leaders are led in their turn. Buckets of more than ``few`` documents that hold
+  several components are refined before pairs are formed: by (token, token of the second order's prefix), and if that
+  is still too large by the third order's too; pairs that link share all three. So documents that have one frequent
+  token in common and nothing else meet in no bucket.
 * Sorted buckets are streamed. Members of a pair are brought to the leader's text, split over salts if there are many.
 
 Edge cases: null or empty texts, and those without words, have an empty set and link with nothing; texts of fewer words
@@ -36,6 +43,7 @@ from .common import SPACE, Words, as_bytes, bound_batches, components, cut, int6
 SHINGLE, PERCENT = 5, 75
 WIDTH, ROWS, CELLS = 1 << 20, 2, 1 << 14  # of the frequency sketch: counters in a row, rows, counters in a block
 SALT = 250  # pairs of one leader that a salt gets
+HOT, FEW = 200_000, 64  # documents of a token's bucket that one task streams; that are compared pair by pair
 
 
 def sets_of(docs: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -129,41 +137,75 @@ class Orders:
     def __init__(self, sketch: bytes):
         self.sketch = sketch
 
-    def key(self, x: np.ndarray, order: int) -> np.ndarray:
-        h = mix(x, np.uint64((17, 19, 23)[order]))
-        if order == 2:
-            return h
+    def often(self, x: np.ndarray) -> np.ndarray:
+        """How many documents have each token, at most."""
         s = np.frombuffer(self.sketch, np.uint32).reshape(ROWS, WIDTH)
-        often = np.minimum.reduce([s[r][c] for r, c in enumerate(_cells(x))])
+        return np.minimum.reduce([s[r][c] for r, c in enumerate(_cells(x))])
+
+    def key(self, x: np.ndarray, order: int, often: np.ndarray | None = None) -> np.ndarray:
+        h = mix(x, np.uint64((17, 19, 23)[order]))
         # Frequencies as steps of a quarter octave: noise of the sketch does not order rare tokens.
-        step = np.floor(np.log2(often + 1.0) * 4).astype(np.uint64) << np.uint64(56)
-        return step | (h >> np.uint64(8))
+        step = np.floor(np.log2((self.often(x) if often is None else often) + 1.0) * 4).astype(np.uint64) << np.uint64(55)
+        key = step | (h >> np.uint64(9))
+        if order:
+            half = mix(x, np.uint64(29)) >> np.uint64(63)
+            key |= (half if order == 1 else half ^ np.uint64(1)) << np.uint64(63)
+        return key
 
 
 def prefix_size(n, percent: int):
     return n - -(-n * percent // 100) + 1
 
 
-def _index(shingle: int, percent: int, orders: Orders):
-    """The prefix tokens of the first order: token, document, set size, place in the order."""
+def _index(shingle: int, percent: int, orders: Orders, hot: int):
+    """The prefix tokens of the first order: token, document, set size, place in the order, and salt (of a hot token)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, i, j, docs in _sliced(batches):
             ids, sets = b["id"].slice(i, j - i).to_numpy(), sets_of(docs, shingle)
-            cols: list[list] = [[], [], [], []]
-            keys = orders.key(np.concatenate(sets), 0)
+            cols: list[list] = [[], [], [], [], []]
+            all_ = np.concatenate(sets)
+            often = orders.often(all_)
+            keys = orders.key(all_, 0, often)
             at = 0
             for i, x in zip(ids, sets, strict=True):
                 n = len(x)
-                k, at = keys[at : at + n], at + n
+                k, c, at = keys[at : at + n], often[at : at + n], at + n
                 if n:
                     m = prefix_size(n, percent)
                     o = np.argpartition(k, m - 1)[:m] if m < n else np.arange(n)
                     o = o[np.argsort(k[o])]
-                    for c, v in zip(cols, (x[o], np.full(m, i), np.full(m, n), np.arange(m)), strict=True):
+                    salts = c[o] // hot + 1
+                    salt = np.where(salts > 1, 1 + mix(np.full(1, i).view(np.uint64), np.uint64(31)) % salts.astype(np.uint64), 0)
+                    for c, v in zip(cols, (x[o], np.full(m, i), np.full(m, n), np.arange(m), salt), strict=True):
                         c.append(v)
             arrays = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-            yield pa.RecordBatch.from_arrays([int64(arrays[0]), int64(arrays[1]), *(pa.array(x.astype(np.int32)) for x in arrays[2:])], ["t", "id", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([int64(arrays[0]), int64(arrays[1]), *(pa.array(x.astype(np.int32)) for x in arrays[2:])], ["t", "id", "n", "pos", "salt"])
+
+    return run
+
+
+def _prefixes(shingle: int, percent: int, orders: Orders):
+    """id and, as 32-bit hashes, the prefix tokens of the second and third order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, i, j, docs in _sliced(batches):
+            sets = sets_of(docs, shingle)
+            all_ = np.concatenate(sets)
+            often = orders.often(all_)
+            short = (all_ >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            end = np.cumsum([len(x) for x in sets])
+            lists = []
+            for order in (1, 2):
+                keys = orders.key(all_, order, often)
+                parts = []
+                for x, e in zip(sets, end.tolist(), strict=True):
+                    n, k, v = len(x), keys[e - len(x) : e], short[e - len(x) : e]
+                    m = prefix_size(n, percent)
+                    parts.append(np.unique(v[np.argpartition(k, m - 1)[:m]] if m < n else v))
+                offsets = pa.array(np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int32))
+                lists.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts))))
+            yield pa.RecordBatch.from_arrays([b["id"].slice(i, j - i), *lists], ["id", "p2", "p3"])
 
     return run
 
@@ -175,28 +217,29 @@ def _possible(n, pos, n2, pos2, percent: int):
 
 
 def _lead(percent: int):
-    """Streams the index sorted by token and id: rows of tokens with several documents, each with its leader."""
+    """Streams the index sorted by token, salt and id: rows of tokens with several documents (all rows of salted ones),
+    each with its leader; head: the leader's own row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # token, id, n, pos of the leader, and whether it is out
+        last = None  # token, salt, id, n, pos of the leader, and whether it is out
         for b in batches:
             if not b.num_rows:
                 continue
-            t, i, n, pos = (b[x].to_numpy() for x in ("t", "id", "n", "pos"))
+            t, salt, i, n, pos = (b[x].to_numpy() for x in ("t", "salt", "id", "n", "pos"))
             if last is not None:
-                t, i, n, pos = (np.append(np.array([x], y.dtype), y) for x, y in zip(last[:4], (t, i, n, pos), strict=True))
+                t, salt, i, n, pos = (np.append(np.array([x], y.dtype), y) for x, y in zip(last[:5], (t, salt, i, n, pos), strict=True))
             new = np.ones(len(t), bool)
-            new[1:] = t[1:] != t[:-1]
+            new[1:] = (t[1:] != t[:-1]) | (salt[1:] != salt[:-1])
             lead = np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
             rest = ~new & (i != i[lead])
-            out = rest | (new & np.append(~new[1:] & (t[1:] == t[:-1]), False))
-            if last is not None and last[4]:
+            out = rest | (new & ((salt > 0) | np.append(~new[1:], False)))
+            if last is not None and last[5]:
                 out[0] = False
             ok = rest & _possible(n.astype(np.int64), pos, n[lead].astype(np.int64), pos[lead], percent)
-            yield pa.RecordBatch.from_arrays([int64(t[out]), int64(i[out]), pa.array(n[out]), pa.array(pos[out]), pa.array(i[lead][out], mask=~ok[out])], ["t", "id", "n", "pos", "leader"])
+            yield pa.RecordBatch.from_arrays([int64(t[out]), pa.array(salt[out]), int64(i[out]), pa.array(n[out]), pa.array(pos[out]), pa.array(i[lead][out], mask=~ok[out]), pa.array(new[out])], ["t", "salt", "id", "n", "pos", "leader", "head"])
             k = lead[-1]
-            done = len(t) - 1 > k or (k == 0 and last is not None and last[4])
-            last = (t[k], i[k], n[k], pos[k], done)
+            done = len(t) - 1 > k or bool(out[k]) or (k == 0 and last is not None and last[5])
+            last = (t[k], salt[k], i[k], n[k], pos[k], done)
 
     return run
 
@@ -251,14 +294,10 @@ def _across(percent: int):
     return run
 
 
-def _verify(shingle: int, percent: int, orders: Orders):
+def _verify(shingle: int, percent: int):
     """Rows sorted by leader and salt, the leader's text first: the pairs that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def ready(x: np.ndarray) -> tuple:
-            m = prefix_size(len(x), percent)
-            return x, *(np.sort(x[np.argpartition(k, m - 1)[:m]]) if m < len(x) else x for k in (orders.key(x, 1), orders.key(x, 2)))
-
         def common(x: np.ndarray, y: np.ndarray) -> int:
             if len(x) > len(y):
                 x, y = y, x
@@ -268,37 +307,46 @@ def _verify(shingle: int, percent: int, orders: Orders):
 
         leader = None
         for b, lo, hi, docs in _sliced(batches):
-            sets = sets_of(docs, shingle)
             out: list[tuple] = []
-            for a, i, x in zip(b["a"].slice(lo, hi - lo).to_pylist(), b["id"].slice(lo, hi - lo).to_pylist(), sets, strict=True):
+            for a, i, x in zip(b["a"].slice(lo, hi - lo).to_pylist(), b["id"].slice(lo, hi - lo).to_pylist(), sets_of(docs, shingle), strict=True):
                 if a == i:
-                    leader = (a, *ready(x))
-                    continue
-                me = ready(x)
-                if leader[0] != a or not common(leader[2], me[1]) or not common(leader[3], me[2]):
+                    leader = a, x
                     continue
-                both = common(leader[1], me[0])
-                if 100 * both >= percent * (len(leader[1]) + len(me[0]) - both):
+                both = common(leader[1], x) if leader[0] == a else 0
+                if 100 * both >= percent * (len(leader[1]) + len(x) - both):
                     out.append((a, i))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     return run
 
 
+def _prefix_table(docs: DataFrame, ids: DataFrame, shingle: int, percent: int, orders: Orders, name: str) -> DataFrame:
+    some = keep_ids(docs, ids, "id").dropDuplicates(["id"])
+    return cut(some.mapInArrow(tidy(_prefixes(shingle, percent, orders)), "id long, p2 array<int>, p3 array<int>"), f"{name}-prefixes")
+
+
+def _both_ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+
+
 def _links(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int, orders: Orders, name: str) -> DataFrame:
-    """The pairs (a, b), a < b, that link, as (u, v)."""
-    pairs = cut(pairs.distinct(), f"{name}-pairs")
-    texts = keep_ids(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), "id").dropDuplicates(["id"])
+    """The pairs (a, b), a < b, that link, as (u, v). They share a token of the first order's prefix."""
+    pairs = cut(pairs.distinct(), f"{name}-candidates")
+    prefix = _prefix_table(docs, _both_ends(pairs), shingle, percent, orders, name)
+    for end in "ab":
+        pairs = pairs.join(prefix.select(F.col("id").alias(end), F.col("p2").alias(f"p2{end}"), F.col("p3").alias(f"p3{end}")), end)
+    pairs = cut(pairs.where(F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b")).select("a", "b"), f"{name}-pairs")
+    texts = keep_ids(docs, _both_ends(pairs), "id").dropDuplicates(["id"])
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
     pairs = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
     members = texts.join(pairs.withColumnRenamed("b", "id"), "id").select("a", F.col("salt").cast("int").alias("salt"), F.lit(1).alias("order"), "id", "b")
     leaders = texts.join(salts.withColumnRenamed("a", "id"), "id")
     leaders = leaders.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("order"), "id", "b")
     rows = leaders.union(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "order")
-    return cut(rows.select("a", "id", "b").mapInArrow(tidy(_verify(shingle, percent, orders)), "u long, v long"), f"{name}-links")
+    return cut(rows.select("a", "id", "b").mapInArrow(tidy(_verify(shingle, percent)), "u long, v long"), f"{name}-links")
 
 
-def _indexed(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, Orders, DataFrame]:
+def _indexed(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame, Orders, DataFrame]:
     """Set sizes and names by id, classes of equal sets, texts by id, the orders, and the index of the classes."""
     bound_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("b"))
@@ -309,7 +357,7 @@ def _indexed(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     classes = cut(classes, "jaccard-classes")
 
     single = d.where("id is not null")
-    index = keep_ids(single, classes.select(F.col("rep").alias("id")), "id").mapInArrow(tidy(_index(shingle, percent, orders)), "t long, id long, n int, pos int")
+    index = keep_ids(single, classes.select(F.col("rep").alias("id")), "id").mapInArrow(tidy(_index(shingle, percent, orders, hot)), "t long, id long, n int, pos int, salt int")
     return own, classes, single, orders, index
 
 
@@ -317,7 +365,7 @@ def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """All links (a, b), a < b, between different sets, each set under the smallest id that has it.
 
     Inside components too, so the rows grow with the square of a group of different near copies."""
-    _, _, single, orders, index = _indexed(docs, id_col, text_col, shingle, percent)
+    _, _, single, orders, index = _indexed(docs, id_col, text_col, shingle, percent, HOT)
     index = cut(index, "jaccard-index")
     x, y = (index.select("t", *[F.col(c).alias(c + k) for c in ("id", "n", "pos")]) for k in "ab")
     both, total = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")), F.col("na").cast("long") + F.col("nb")
@@ -327,17 +375,41 @@ def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return links.select(F.col("u").alias("a"), F.col("v").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def _refined(left: DataFrame, docs: DataFrame, shingle: int, percent: int, orders: Orders, few: int) -> DataFrame:
+    """Members of the buckets (t) in which several components meet, in buckets of at most few where that can be."""
+    kinds = left.groupBy("t").agg((F.min("comp") < F.max("comp")).alias("several"), F.count("*").alias("size")).where("several")
+    left = cut(left.join(kinds.select("t", "size"), "t"), "jaccard-left")
+    small = left.where(F.col("size") <= few)
+    large = left.where(F.col("size") > few)
+    if not large.take(1):
+        return small.drop("size")
+    prefix = _prefix_table(docs, large.select("id").distinct(), shingle, percent, orders, "jaccard-large")
+    for column in ("p2", "p3"):
+        name = f"jaccard-by-{column}"
+        finer = large.drop("size").join(prefix.select("id", column), "id").withColumn("more", F.explode(column))
+        finer = finer.select(F.xxhash64("t", "more").alias("t"), "n", "pos", "id", "comp")
+        kinds = finer.groupBy("t").agg((F.min("comp") < F.max("comp")).alias("several"), F.count("*").alias("size")).where("several")
+        finer = cut(finer.join(kinds.select("t", "size"), "t"), name)
+        small = small.union(finer.where(F.col("size") <= few))
+        large = finer.where(F.col("size") > few)
+    return small.union(large).drop("size")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, hot: int = HOT, few: int = FEW) -> DataFrame:
     """Per document: id, n_shingles and component_id, the smallest id that links reach."""
-    own, classes, single, orders, index = _indexed(docs, id_col, text_col, shingle, percent)
-    index = index.repartition("t").sortWithinPartitions("t", "id")
-    buckets = cut(index.mapInArrow(tidy(_lead(percent)), "t long, id long, n int, pos int, leader long"), "jaccard-buckets")
-
-    first = _links(single, buckets.where("leader is not null").select(F.col("leader").alias("a"), F.col("id").alias("b")), shingle, percent, orders, "jaccard-1")
+    own, classes, single, orders, index = _indexed(docs, id_col, text_col, shingle, percent, hot)
+    led = "t long, salt int, id long, n int, pos int, leader long, head boolean"
+    index = index.repartition("t", "salt").sortWithinPartitions("t", "salt", "id")
+    buckets = cut(index.mapInArrow(tidy(_lead(percent)), led), "jaccard-buckets")
+    heads = buckets.where("salt > 0 and head").withColumn("salt", F.lit(0)).select("t", "salt", "id", "n", "pos")
+    heads = heads.repartition("t").sortWithinPartitions("t", "id").mapInArrow(tidy(_lead(percent)), led)
+
+    pairs = buckets.select("leader", "id").union(heads.select("leader", "id")).where("leader is not null")
+    first = _links(single, pairs.select(F.col("leader").alias("a"), F.col("id").alias("b")), shingle, percent, orders, "jaccard-1")
     comp = components(first, "jaccard-1")
     left = buckets.join(comp.withColumnRenamed("node", "id"), "id", "left").select("t", "n", "pos", "id", F.coalesce("comp", "id").alias("comp"))
-    several = left.groupBy("t").agg((F.min("comp") < F.max("comp")).alias("several")).where("several").select("t")
-    left = left.join(several, "t", "left_semi").repartition("t").sortWithinPartitions("t")
+    left = _refined(left, single, shingle, percent, orders, few).select("t", "n", "pos", "id", "comp")
+    left = left.repartition("t").sortWithinPartitions("t")
     second = _links(single, left.mapInArrow(tidy(_across(percent)), "a long, b long"), shingle, percent, orders, "jaccard-2")
     comp = components(first.union(second), "jaccard-2")
 
