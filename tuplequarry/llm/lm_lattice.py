@@ -3,9 +3,10 @@
 Tokens are white-space words, A-Z lower-cased, and one end a document. The lattice of a word has three layers:
 
 * pieces of an existing subword vocabulary. A first piece is drawn from those that open a word, then either the word
-  stops or a further piece or single byte follows; bytes keep every string reachable. The pieces' scores are learned
-  from the training words: the vocabulary's own segmentation of each distinct word is counted (as back-off models do,
-  each word once) and smoothed;
+  stops or a further piece or single byte follows; bytes keep every string reachable. The vocabulary's own scores weight
+  the pieces: its scores are ranks (no file at hand has unigram log probabilities), which a Zipf-Mandelbrot law, ``1 /
+  (rank + SHIFT)``, makes weights; these are pseudo-counts, ``ALPHA`` a piece on average, to which the pieces in the
+  vocabulary's own segmentation of each distinct training word are added (as back-off models do, each word once);
 * the whole word as one arc, if training has it: (count - discount) / tokens. What the discount takes off is the weight
   of the piece layer;
 * the whole word in the class of its document, in the same way; what is discounted there is the weight of the second.
@@ -42,7 +43,7 @@ from .common import as_bytes, bound_batches, cut, large, tidy
 
 HEAD = 200_000  # words whose scores are sent to all tasks
 FLUSH = 400_000  # distinct words that a task counts before it passes them on
-DISCOUNT, ALPHA, LONGEST, CLASSES = 0.75, 0.1, 24, 8
+DISCOUNT, ALPHA, SHIFT, LONGEST, CLASSES = 0.75, 0.1, 2.7, 24, 8
 OPEN, STOP = "▁", -1
 
 
@@ -100,13 +101,16 @@ class Lattice:
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
-        get = lambda i: [c.get(i, 0) + alpha for c in counts]
+        plain = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+        weight = {i: 1 / (SHIFT - sp.get_score(i)) for i in plain}
+        scale = alpha * len(plain) / sum(weight.values())
+        get = lambda i: [c.get(i, 0) + (scale * weight[i] if i in weight else alpha) for c in counts]
         first, more, byte = {"": [alpha] * len(counts)}, {}, {x: [alpha] * len(counts) for x in range(256)}
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 byte[int(piece[1:-1], 16)] = get(i)
-            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and OPEN not in piece[1:]:
+            elif i in weight and OPEN not in piece[1:]:
                 (first if piece[:1] == OPEN else more)[piece.removeprefix(OPEN)] = get(i)
         a, b, c = (np.array(list(x.values()), float) for x in (first, more, byte))
         stop = np.array(get(STOP), float)
@@ -161,7 +165,7 @@ class Totals:
         return np.log(self.ends / (self.ends + self.words)) if self.tokens else np.log(np.full(1, 0.5))
 
 
-def _score_words(lattice: Lattice, t: Totals):
+def _score_words(lattice: Lattice, t: Totals, arcs: bool = True):
     """(word, c, lp0, ...): count in training and the marginal in each class, natural log."""
     classes = len(t.ends)
 
@@ -170,7 +174,9 @@ def _score_words(lattice: Lattice, t: Totals):
         for b in batches:
             c = np.stack([b[f"c{k}"].to_numpy() for k in range(classes)], axis=1).astype(float)
             lp = lattice.forward(as_bytes(b["word"]))
-            if t.tokens:
+            if t.tokens and not arcs:
+                lp = lp + np.log(t.words.sum() / t.tokens)
+            elif t.tokens:
                 with np.errstate(divide="ignore"):
                     whole = np.log(np.maximum(c.sum(axis=1) - DISCOUNT, 0) / seen)[:, None]
                     lp = np.logaddexp(lp + np.log(DISCOUNT * t.all_types / seen), whole)
@@ -222,11 +228,12 @@ def _least_count(scored: DataFrame, head: int) -> int:
     return least
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, held_out: str | None = None, vocabulary: str | None = None, head: int = HEAD) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, held_out: str | None = None, vocabulary: str | None = None, head: int = HEAD, arcs: bool = True) -> DataFrame:
     """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10).
 
     held_out: SQL condition over the id column; documents that meet it are scored but not learned from.
-    class_col: a column of the training documents; it is not looked at when a document is scored.
+    class_col: a column of the training documents; it is not looked at when a document is scored. arcs: whole words are
+    arcs too; without them, the pieces alone score (to see what each layer does).
     """
     bound_batches(docs.sparkSession)
     held_out = held_out or f"crc32(cast(cast(`{id_col}` as string) as binary)) % 10 = 0"
@@ -259,7 +266,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for r in pieces.collect():  # at most the vocabulary's size in each class
         counts[r.k][r.piece] = r.n
     lps = [f"lp{i}" for i in range(classes)]
-    scored = cut(words.mapInArrow(tidy(_score_words(Lattice(path, counts), t)), f"word binary, c long, {', '.join(f'{x} double' for x in lps)}"), "lm-scores")
+    scored = cut(words.mapInArrow(tidy(_score_words(Lattice(path, counts), t, arcs)), f"word binary, c long, {', '.join(f'{x} double' for x in lps)}"), "lm-scores")
 
     top = scored.where(F.col("c") >= _least_count(scored, head)).toPandas()
     key = f"{id(top)}-{t.tokens}-{scored.inputFiles()[:1]}"
