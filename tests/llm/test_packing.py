@@ -58,3 +58,36 @@ def test_documents(spark):
 def test_encoder_takes_extreme_texts():
     encode = encoder(tokenizer_files())
     assert len(encode(" " * 200_000)) > 0 and len(encode("ab" * 100_000)) > 0
+
+
+def test_ids_of_all_documents():
+    """The ranks and the tokenizer file give equal ids, on every document of a table."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    encode = encoder(tokenizer_files())
+    t = Tokenizer.from_file(tokenizer_files()[0])
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    for x, want in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(x) == want.ids
+
+
+def test_all_capacities_bind(spark):
+    """Document count and attention cost bind in a Spark run, by both rules; rows without id; repeated rows."""
+    r = random.Random(4)
+    docs = [(i, "word " * r.choice([1, 2, 3, 3, 40, 60])) for i in range(300)] + [(None, "word word"), (None, None), (5, "x"), (5, "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for rule in ("norm", "dot"):
+        most = []
+        for more, cost in ((6, 5000), (6, 128 * 128), (128, 128 * 128)):
+            bins = defaultdict(list)
+            for x in pack_documents(df, capacity=128, max_docs=more, max_cost=cost, rule=rule).collect():
+                bins[x.sequence_id].append((x.offset, x.length))
+            most.append((max(map(len, bins.values())), max(sum(n * n for _, n in x) for x in bins.values())))
+            assert sum(map(len, bins.values())) == len(docs)
+            for x in bins.values():
+                x.sort()
+                assert x[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(x, x[1:], strict=False))
+                assert sum(n for _, n in x) <= 128 and len(x) <= more and sum(n * n for _, n in x) <= cost
+        # each capacity binds: it is exceeded without it
+        assert most[0][0] <= 6 < most[2][0] and most[0][1] <= 5000 < most[1][1]
