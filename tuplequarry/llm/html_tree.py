@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, tidy
+from .common import bound_batches, cut, tidy
 from .url_rules import url_host
 
 LEAST, PAGES, FEW_NODES = 0.3, 8, 1_000_000
@@ -286,7 +286,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     kind = pages.schema[id_col].dataType.simpleString()
     p = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     p = p.withColumn("host", url_host(F.col("url")))
-    low = unimportant_nodes(p).persist()
+    low = cut(unimportant_nodes(p), "unimportant-nodes")
     by_host = low.groupBy("host").agg(F.collect_list("path").alias("low"))
     if low.limit(FEW_NODES + 1).count() <= FEW_NODES:
         by_host = F.broadcast(by_host)
