@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from tuplequarry.llm.url_rules import RULES, match_urls, rules_frame
 
 
@@ -31,10 +33,13 @@ def test_many_rules_and_tiles(spark):
     r = random.Random(5)
     name = lambda n: ".".join(r.choice("ab") + r.choice(["", "a"]) for _ in range(n))
     path = lambda: "/" + "".join(r.choice("xy/") for _ in range(r.randrange(5)))
-    rules = list({(h, p): (h, p, r.choice(["allow", "block"])) for h, p in ((name(r.randint(1, 3)), path()) for _ in range(300))}.values())
+    rules = [("it's.a\\b", "/'", "block"), *{(h, p): (h, p, r.choice(["allow", "block"])) for h, p in ((name(r.randint(1, 3)), path()) for _ in range(300))}.values()]
     urls = [f"http://{name(r.randint(1, 4))}{path()}" for _ in range(400)]
     check(spark, urls, rules)
     check(spark, urls, rules, tile=8, salts=3)
+    check(spark, urls, rules, tile=2, salts=2)  # more than 64 tiles
+    with pytest.raises(ValueError, match="repeat"):
+        match_urls(spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string"), rules_frame(spark, [*rules, rules[0]]))
 
 
 def test_repeats_and_none(spark):

@@ -17,14 +17,14 @@ of all urls, is so dealt over all salts, and no task holds more than a tile's en
 
 Edge cases: a null url, or one without ``://``, has empty host and path, fits no rule and gets the default verdict;
 port and user info are part of the host; empty labels are kept (``com.`` is not ``com``); repeated urls come out as often
-as they went in; no rules: all get the default verdict; an empty table gives an empty result. Rules may not repeat.
+as they went in; no rules: all get the default verdict; an empty table gives an empty result. Rules that
+repeat a host and path are refused.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 RULES = (
@@ -35,6 +35,7 @@ RULES = (
     ("org", "/es/", "block"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+STEP = 64
 FEW_RULES = 10_000  # up to so many rule hosts are a literal that thins out the levels of urls
 
 
@@ -53,8 +54,10 @@ def _reversed_host(host: Column) -> Column:
 
 
 def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
-    schema = T.StructType([T.StructField(x, T.StringType(), False) for x in ("host", "path", "verdict")])
-    return spark.createDataFrame(list(rules), schema)
+    lit = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if not rules:
+        return spark.sql("select '' as host, '' as path, '' as verdict where false")
+    return spark.sql(f"select * from values {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rules)} as t(host, path, verdict)")
 
 
 def _ends(rules: DataFrame) -> DataFrame:
@@ -75,6 +78,8 @@ def match_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
     """Per url: id, host, path, rule (null where none fits) and verdict."""
     spark = urls.sparkSession
     salts = salts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if rules.groupBy("host", "path").count().where("count > 1").take(1):
+        raise ValueError("rules repeat a host and path")
     ends = _ends(rules)
 
     # Tiles. Rules are the small side: their ends are numbered in order by the sizes of range partitions.
@@ -87,8 +92,15 @@ def match_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
         starts = [bytes(x.k) for x in ends.where(step).select("k").distinct().orderBy("k").collect()]
 
     def tile_of(k: Column) -> Column:
-        """How many tile bounds are at or before the key."""
-        return F.size(F.filter(F.array(*[F.lit(x) for x in starts]), lambda x: x <= k)) if starts else F.lit(0)
+        """How many tile bounds are at or before the key: first among every 64th bound, then among the 64 behind it."""
+        if not starts:
+            return F.lit(0)
+        before = lambda some: F.size(F.filter(some, lambda x: x <= k))
+        lits = lambda some: F.array(*[F.lit(x) for x in some])
+        if len(starts) <= STEP:
+            return before(lits(starts))
+        base = F.greatest(before(lits(starts[::STEP])) - 1, F.lit(0)) * STEP
+        return base + before(F.slice(lits(starts), base + 1, F.lit(STEP)))
 
     ends = ends.withColumn("tile", tile_of(F.col("k")))
     if starts:
