@@ -46,3 +46,17 @@ def test_empty(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_words, r.n_hit) for r in find_benchmark(docs, bench).collect()] == [(2, 0)]
     assert find_benchmark(docs.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("block", [250_000, 1])
+def test_long_texts_ties_and_rows_without_id(spark, block):
+    """Windows whose shingles are all equally rare, texts of some megabytes, null ids of documents and items."""
+    item = " ".join(f"k{i}" for i in range(12))
+    noise = " ".join(f"n{i % 997}" for i in range(300_000))
+    docs = [(1, f"{noise} {item} {noise}"), (2, noise), (None, f"x {item}"), (None, None), (3, " ".join(["k1 k2 k3"] * 50))]
+    bench = spark.createDataFrame([(7, item), (None, "k1 k2 k3"), (8, "n1 n2")], "item_id long, text string")
+    got = find_benchmark(spark.createDataFrame(docs, "doc_id long, text string"), bench, block=block).collect()
+    want = brute([(d or 0, t) for d, t in docs], [(7, item), (None, "k1 k2 k3"), (8, "n1 n2")])
+    assert sorted((x.doc_id or 0, x.n_words, x.n_hit) for x in got) == sorted((w[0], w[1], w[2]) for w in want)
+    # items without id hit, but are not listed
+    assert {x.doc_id: x.n_items for x in got if x.doc_id} == {1: 2, 2: 1, 3: 0} and {x.contaminated for x in got if x.doc_id == 3} == {True}

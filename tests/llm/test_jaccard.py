@@ -63,6 +63,8 @@ def test_edges(spark):
     got = sorted(((x.doc_id, x.component_id) for x in near_duplicates(df).collect()), key=str)
     assert got == sorted([(7, 3), (7, 3), (3, 3), (9, 9), (None, None), (8, 8), (10, 8), (11, 11)], key=str)
     assert near_duplicates(df.limit(0)).count() == 0
+    with pytest.raises(TypeError):
+        near_duplicates(df.selectExpr("cast(doc_id as string) as doc_id", "text"))
 
 
 def test_all_links_of_a_group(spark):

@@ -30,6 +30,16 @@ def test_features(spark):
     assert judge(df.limit(0)).count() == 0
 
 
+def test_long_texts_ties_and_rows_without_id(spark):
+    half = " ".join(["a b c"] * 10 + [f"w{i}" for i in range(30)])  # 30 of 60 words repeat: a tie
+    rows = [(1, "ab " * 400_000), (2, " ".join(f"x{i}" for i in range(50))), (3, " ".join(f"x{i}" for i in range(49))), (4, half), (None, half), (None, None), (5, "x" * 2_000_000)]
+    got = judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for t, x in zip([t for _, t in sorted(rows, key=lambda y: (str(y[0]), y[1] or ""))], sorted(got, key=lambda y: (str(y.doc_id), y.n_words)), strict=True):
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == brute(t)
+    failed = {x.doc_id: x.base_failed for x in got if x.doc_id}
+    assert failed == {1: True, 2: False, 3: True, 4: False, 5: True}
+
+
 def test_em_finds_accuracies():
     r = np.random.default_rng(1)
     good = r.random(20000) < 0.7

@@ -26,7 +26,7 @@ lost, and groups of copies are never expanded into pairs.
 Edge cases: null or empty texts, and those without words, have an empty set and link with nothing; texts of fewer words
 are one shingle, the whole sequence; repeated rows are members of one class and each comes out; documents with a null id
 come out with a null component and link with nothing; an empty table gives an empty result; other columns stay out.
-``doc_id`` must identify the text.
+the id column must be of an integer type and identify the text.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import SPACE, Words, as_bytes, bound_batches, components, cut, int64, keep_ids, mix, slices, tidy
 
@@ -349,6 +350,8 @@ def _links(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int, orders
 def _indexed(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame, Orders, DataFrame]:
     """Set sizes and names by id, classes of equal sets, texts by id, the orders, and the index of the classes."""
     bound_batches(docs.sparkSession)
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("b"))
     seen = cut(d.mapInArrow(tidy(_summaries(shingle)), "kind int, id long, n long, s1 long, s2 long, cells binary"), "jaccard-sets")
     orders = Orders(_sketch(seen.where("kind = 1")))

@@ -20,9 +20,19 @@ gaps as (
   select doc_id, lag(e, 1, 0) over (partition by doc_id order by s) as a, s as b from runs
   union all select n.doc_id, max(runs.e), max(n.n_bytes) from runs join n using (doc_id) group by n.doc_id),
 kept as (select doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' order by a) as k from gaps join n using (doc_id) group by doc_id),
-removed as (select doc_id, sum(e - s)::bigint as n_removed, count(*)::bigint as n_spans from runs group by 1)
-select n.doc_id, n.n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256
-from n left join removed using (doc_id) left join kept using (doc_id)
+removed as (select doc_id, sum(e - s)::bigint as n_removed, count(*)::bigint as n_spans from runs group by 1),
+-- passages: runs of repeated strings of 256 bytes that hold more than 50 words
+marked2 as (select doc_id, p, md5(substr(h, 2 * p + 1, 512)) as m from (select doc_id, unnest(range(0, n_bytes - 255)) as p, h from n where n_bytes >= 256)),
+hit2 as (select doc_id, p from marked2 where m in (select m from marked2 group by 1 having count(*) > 1)),
+runs2 as (
+  select doc_id, min(p) as s, max(p) + 256 as e from (
+    select doc_id, p, sum(new) over (partition by doc_id order by p) as g from (
+      select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 256 then 0 else 1 end as new from hit2))
+  group by doc_id, g),
+mask as (select doc_id, list_aggregate(list_transform(regexp_extract_all(h, '..'), lambda x: case when x in ('20', '09', '0A', '0B', '0C', '0D') then ' ' else 'x' end), 'string_agg', '') as m from n where doc_id in (select doc_id from runs2)),
+passages as (select doc_id, sum(e - s)::bigint as n_passage_bytes from runs2 join mask using (doc_id) where len(regexp_extract_all(substr(m, s + 1, e - s), 'x+')) > 50 group by 1)
+select n.doc_id, n.n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256, coalesce(n_passage_bytes, 0)::bigint as n_passage_bytes
+from n left join removed using (doc_id) left join kept using (doc_id) left join passages using (doc_id)
 """
 
 OP4 = r"""
@@ -76,3 +86,15 @@ items as (select doc_id, count(*)::bigint as n_items, string_agg(item_id, ',' or
 select dw.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from dw left join words using (doc_id) left join items using (doc_id)
 """
+
+QUALITY_BASE = r"""
+with d as (select row_number() over () as r, doc_id, coalesce("text", '') as t, regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+') as w from documents),
+lines as (select r, x from d, unnest(string_split(t, chr(10))) as u(x) where regexp_matches(x, '[^\x20\x09-\x0D]')),
+dup as (select r, count(*) - count(distinct x) as n from lines group by r),
+grams as (select r, i, w[i] as a, w[i + 1] as b, w[i + 2] as c from d, unnest(range(1, len(w) - 1)) as u(i)),
+twice as (select r, i, count(*) over (partition by r, a, b, c) as n from grams),
+hit as (select r, count(distinct i + k) as n from twice, range(3) as u(k) where n > 1 group by r)
+select doc_id, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(hit.n, 0)::bigint as n_repeat_words
+from d left join dup using (r) left join hit using (r)
+"""

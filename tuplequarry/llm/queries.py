@@ -41,6 +41,14 @@ def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def llm_quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed part of op8, which SQL can express."""
+    from .quality import features
+
+    f = features(table(spark, sf_dir, "documents"))
+    return f.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify_documents
 
@@ -73,7 +81,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
-    return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
+    return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))} | {"llm_quality_base": llm_quality_base}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -83,4 +91,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_ngram_jaccard": oracle.OP5,
         "op7_url_rules": oracle.OP7,
         "op10_decontamination": oracle.OP10,
+        "llm_quality_base": oracle.QUALITY_BASE,
     }

@@ -15,8 +15,8 @@ In the same run, *passages* are found: runs of repeated strings of ``passage`` b
   and the strings by which their cores exceed it. A member alone in a bucket goes, a bucket in which all windows agree is
   settled (all repeat), and the others are refined, down to single windows.
 
-Codes of 64 bits only leave things out. What is removed was found equal either byte by byte (inside a batch, and the strings around cores
-in the later rounds) or by a 128-bit BLAKE2 digest of the very bytes.
+Codes of 64 bits only leave things out. What is removed was found equal byte by byte (inside a batch), or by 128 bits: a
+BLAKE2 digest of the very bytes of a context or first core, and two hashes of the strings around it.
 
 Skew: exact copies of documents are reduced to one beforehand (aggregated by digest); equal contexts are reduced to one
 row in each batch before the shuffle; buckets are only ever counted, with map-side combining, and joined with their
@@ -172,9 +172,11 @@ def _find_anchors(lengths: tuple[int, ...]):
     return run
 
 
-# size -1: all windows of an anchor agree with others'; else a node of size windows from start s on. left and right: the
-# bytes before and after its core that some of its windows contain.
-_NODES = "k1 long, k2 long, kind int, doc long, s long, e long, lft binary, rgt binary"
+# kind -1: all windows of an anchor seem to agree with others'; they start at at to last and end at end at most. Else a
+# node of windows of the kind-th length, with its core at at; lft and rgt: the bytes before and after the core that some
+# of its windows contain, so that window j (of the node's size windows) starts at at - j and the member has those from
+# size - 1 - length(rgt) to length(lft).
+_NODES = "k1 long, k2 long, kind int, doc long, at long, last long, end long, lft binary, rgt binary"
 
 
 def _nodes(lengths: tuple[int, ...]):
@@ -193,10 +195,8 @@ def _nodes(lengths: tuple[int, ...]):
                 for geo, is_whole, is_split, is_deep in zip(place.tolist(), whole.tolist(), split.tolist(), deep.tolist(), strict=True):
                     at, near, far = geo >> 24, geo >> 16 & 255, geo >> 8 & 255
                     if is_whole:
-                        k = key(b"whole %d %d" % (near, far), text[at - far : min(at - near + lengths[-1], n)])
-                        for x, length in enumerate(lengths):
-                            if at - far + length <= n:
-                                rows.append((*k, -1 - x, doc, at - far, min(at - near + length, n), None, None))
+                        end = min(at - near + lengths[-1], n)
+                        rows.append((*key(b"whole %d %d" % (near, far), text[at - far : end]), -1, doc, at - far, at - near, end, None, None))
                     if not is_split:
                         continue
                     for x, length in enumerate(lengths):
@@ -206,35 +206,40 @@ def _nodes(lengths: tuple[int, ...]):
                         for lo in range(least - least % width, far + 1, width) if least <= far else ():
                             hi, mine, top = lo + width - 1, max(lo, least), min(lo + width - 1, far)
                             k = key(b"%d %d" % (x, lo), text[at - lo : at - hi + length])
-                            rows.append((*k, x, doc, at - top, at - mine + length, text[at - top : at - lo], text[at - hi + length : at - mine + length]))
-                cols = list(zip(*rows, strict=True)) or [()] * 8
-                kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["k1", "k2", "kind", "doc", "s", "e", "lft", "rgt"])
+                            rows.append((*k, x, doc, at - lo, None, None, text[at - top : at - lo], text[at - hi + length : at - mine + length]))
+                cols = list(zip(*rows, strict=True)) or [()] * 9
+                kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["k1", "k2", "kind", "doc", "at", "last", "end", "lft", "rgt"])
 
     return run
 
 
-def _settle(nodes: DataFrame, keys: list[str], rest: list[str], name: str) -> DataFrame:
-    """Members of buckets (equal keys) of two at least, with ``alike``: all members agree in rest too."""
-    fine = nodes.groupBy(*keys, *rest).agg(F.count("*").alias("m"))
-    total = fine.groupBy(*keys).agg(F.sum("m").alias("n"), F.count("*").alias("kinds")).where("n > 1")
-    return cut(nodes.join(total.select(*keys, (F.col("kinds") == 1).alias("alike")), keys), name)
-
-
-def _children(nodes: DataFrame, size: int, width: int, root: int) -> DataFrame:
-    """Nodes of width windows of those of size windows; low: the first of them, counted in the root node. A child's bucket
-    is named by the root's, low, and the strings by which its core exceeds the root's core."""
-    first, last = F.lit(root - 1) - F.length("rgt"), F.length("lft")  # the windows that the member has, in the root node
-    low = F.explode(F.sequence(F.greatest(F.col("low"), first - first % width), F.least(F.col("low") + size - 1, last), F.lit(width)))
-    out = nodes.select("k1", "k2", "kind", "doc", "s", "lft", "rgt", low.alias("low"))
-    sub = lambda c, a, n: F.substring(c, a, n)
-    more = F.lit(root - width) - F.col("low")
-    return out.select(
-        "k1", "k2", "kind", "doc", "s", "lft", "rgt", "low",
-        F.when(F.col("low") > 0, sub("lft", F.length("lft") - F.col("low") + 1, F.col("low"))).otherwise(F.lit(b"")).alias("before"),
-        sub("rgt", F.lit(1), more).alias("after"),
-        sub("lft", F.greatest(F.lit(1), F.length("lft") - F.col("low") - width + 2), F.least(F.lit(width - 1), F.length("lft") - F.col("low"))).alias("l2"),
-        sub("rgt", more + 1, F.lit(width - 1)).alias("r2"),
+def _names(*parts) -> tuple:
+    """Two independent 64-bit hashes, 128 bits together."""
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *reversed(parts))
+
+
+def _settle(nodes: DataFrame, name: str) -> DataFrame:
+    """Members of buckets (k1, k2) of two at least, with ``alike``: all members have the same windows, and these agree."""
+    h1, h2 = _names("lft", "rgt")
+    total = nodes.select("k1", "k2", h1.alias("h1"), h2.alias("h2")).groupBy("k1", "k2")
+    total = total.agg(F.count("*").alias("n"), *(f(x).alias(f"{f.__name__}_{x}") for x in ("h1", "h2") for f in (F.min, F.max))).where("n > 1")
+    alike = (F.col("min_h1") == F.col("max_h1")) & (F.col("min_h2") == F.col("max_h2"))
+    return cut(nodes.join(total.select("k1", "k2", alike.alias("alike")), ["k1", "k2"]), name)
+
+
+def _children(nodes: DataFrame, size: int, width: int) -> DataFrame:
+    """Nodes of width windows, of those of size windows. A child's bucket is named by its parent's, its place there, and
+    the strings by which its core exceeds its parent's."""
+    first, last = F.lit(size - 1) - F.length("rgt"), F.length("lft")
+    nodes = nodes.select("k1", "k2", "kind", "doc", "at", "lft", "rgt", F.explode(F.sequence(first - first % width, last, F.lit(width))).alias("low"))
+    low, more = F.col("low"), F.lit(size - width) - F.col("low")
+    before = F.when(low > 0, F.substring("lft", F.length("lft") - low + 1, low)).otherwise(F.lit(b""))
+    k1, k2 = _names("k1", "k2", "low", before, F.substring("rgt", F.lit(1), more))
+    return nodes.select(
+        k1.alias("k1"), k2.alias("k2"), "kind", "doc", (F.col("at") - low).alias("at"),
+        F.substring("lft", F.greatest(F.lit(1), F.length("lft") - low - width + 2), F.least(F.lit(width - 1), F.length("lft") - low)).alias("lft"),
+        F.substring("rgt", more + 1, F.lit(width - 1)).alias("rgt"),
     )
 
 
@@ -260,23 +265,21 @@ def repeated_ranges(d: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     lists = cut(state.groupBy("doc").agg(F.collect_list(F.struct("place", "whole", "split", "deep")).alias("some")), "repeat-lists")
     nodes = cut(keep_ids(d, lists.select("doc"), "doc").join(lists, "doc").select("doc", "b", "some").mapInArrow(tidy(_nodes(lengths)), _NODES), "repeat-nodes")
 
-    ranges = lambda x, *cols: x.select("doc", *cols)
-    whole = nodes.where("kind < 0")
-    sure = whole.groupBy("k1", "k2", "kind").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    found.append(ranges(whole.join(sure, ["k1", "k2", "kind"], "left_semi"), (-1 - F.col("kind")).alias("kind"), "s", "e"))
-
-    root = size = _widths(lengths[0])[0]
-    some = _settle(nodes.where("kind >= 0"), ["k1", "k2", "kind"], ["lft", "rgt"], "repeat-blocks").withColumn("low", F.lit(0))
-    found.append(ranges(some.where("alike"), "kind", "s", "e"))
-    for width in _widths(lengths[0])[1:]:
-        some = _children(some.where("not alike"), size, width, root)
-        some = _settle(some, ["k1", "k2", "kind", "low", "before", "after"], ["l2", "r2"], f"repeat-{width}")
-        # its windows are the member's from low on, width at most
-        lowest, highest = F.greatest(F.col("low"), F.lit(root - 1) - F.length("rgt")), F.least(F.col("low") + width - 1, F.length("lft"))
-        at = lambda r: F.col("s") + F.length("lft") - r
-        length = F.element_at(F.array(*map(F.lit, lengths)), F.col("kind") + 1)
-        found.append(ranges(some.where("alike"), "kind", at(highest).alias("s"), (at(lowest) + length).alias("e")))
-        size = width
+    length = lambda kind: F.element_at(F.array(*[F.lit(x).cast("long") for x in lengths]), kind + 1)
+    whole = nodes.where("kind < 0").select("k1", "k2", "doc", F.col("at").alias("s"), "last", "end")
+    sure = whole.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    whole = whole.join(sure, ["k1", "k2"], "left_semi").withColumn("kind", F.explode(F.array(*map(F.lit, range(len(lengths))))))
+    whole = whole.withColumn("e", F.least(F.col("last") + length(F.col("kind")), "end"))
+    found.append(whole.where(F.col("s") + length(F.col("kind")) <= F.col("end")).select("doc", "kind", "s", "e"))
+
+    widths = _widths(lengths[0])
+    some = nodes.where("kind >= 0").select("k1", "k2", "kind", "doc", "at", "lft", "rgt")
+    for size, width in zip(widths, [*widths[1:], 0], strict=True):
+        some = _settle(some, f"repeat-{size}")
+        start, end = F.col("at") - F.length("lft"), F.col("at") - (size - 1) + F.length("rgt") + length(F.col("kind"))
+        found.append(some.where("alike").select("doc", "kind", start.alias("s"), end.alias("e")))
+        if width:
+            some = _children(some.where("not alike"), size, width)
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
