@@ -10,9 +10,11 @@ words of an item, or all of a shorter item. A document word inside any occurrenc
 * Bounds: a shared token fixes where the window would start and end; both must lie in the document.
 * Verification: the hash of the item-sized stretch of the document, and then its very words.
 
-Size: windows of the benchmark are sent to the executors in blocks of at most ``BLOCK``; with more, all documents are
-read once a block (a stated query set, in blocks) and a document's hits are united. Each block is dealt by the windows'
-hash. Documents are never grouped, so frequent passages or hot sources move nothing.
+Size: up to ``BLOCK`` windows are sent to all tasks, and documents are matched where they are read, without a shuffle.
+With more windows nothing of the benchmark's size is sent: rarity comes from a sketch of fixed size, the prefix tokens
+are a table, a bit map of fixed size says which shingles of documents may be among them, these are joined with the
+table, and what passes the bounds is brought to its document's text and then joined with the windows by its very words.
+Documents are read a fixed number of times, however large the benchmark is.
 
 Edge cases: null and empty texts have no words and no hits; items without words have no windows; the same window in many
 items counts for each of them; repeated documents come out as often as they went in (with several blocks: by equal ids
@@ -22,6 +24,7 @@ and texts); an empty benchmark hits nothing; null item ids are not listed; other
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, Words, as_bytes, bound_batches, cut, int64, slices, tidy
+from .common import NOT_ALNUM, Words, as_bytes, bound_batches, cut, int64, large, slices, tidy
+from .jaccard import CELLS, ROWS, WIDTH, sketch_cells, summed_sketch
 
 SIZE, SHINGLE, BLOCK = 10, 3, 250_000
 
@@ -180,6 +184,124 @@ def _union_length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b["id"], b["n_words"], pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array(spans, kind)], ["id", "n_words", "n_hit", "n_items", "items_sha256", "spans"])
 
 
+BITS = 27  # of the place in the bit map
+
+
+def _rarity(sizes: list[int]):
+    """Blocks of a count-min sketch of the documents' shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros((ROWS, WIDTH), np.int32)
+        for b in batches:
+            docs = as_bytes(b["b"])
+            for i, j in slices(docs):
+                words = Words(docs[i:j], NOT_ALNUM, True)
+                for k in sizes:
+                    for r, c in enumerate(sketch_cells(words.grams(k))):
+                        sketch[r] += np.bincount(c, minlength=WIDTH).astype(np.int32)
+        for x in range(ROWS * WIDTH // CELLS):
+            part = sketch.ravel()[x * CELLS : (x + 1) * CELLS]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([int64(np.array([x])), pa.array([part.tobytes()], pa.binary())], ["id", "cells"])
+
+    return run
+
+
+def _prefix_tokens(shingle: int, sketch: bytes):
+    """(token, k, at, m): the rarest shingle of each window, its words, its place, and the window's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = np.frombuffer(sketch, np.uint32).reshape(ROWS, WIDTH)
+        for b in batches:
+            x = _Block(as_bytes(b["window"]), shingle)
+            x.rank(x.tokens, np.minimum.reduce([s[r][c] for r, c in enumerate(sketch_cells(x.tokens))]))
+            yield pa.RecordBatch.from_arrays([int64(x.token), *(pa.array(y.astype(np.int32)) for y in (x.k[x.of], x.at, x.length[x.of]))], ["token", "k", "at", "m"])
+
+    return run
+
+
+def _bit_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the bit map of prefix tokens, as sketch blocks: sums of zeros and ones."""
+    seen = np.zeros(1 << BITS - 3, np.uint8)
+    for b in batches:
+        at = b["token"].to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
+        np.bitwise_or.at(seen, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
+    for x in np.unique(np.flatnonzero(seen) // CELLS).tolist():
+        yield pa.RecordBatch.from_arrays([int64(np.array([x])), pa.array([seen[x * CELLS : (x + 1) * CELLS].tobytes()], pa.binary())], ["id", "cells"])
+
+
+def _or_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for x, cells in zip(b["id"].to_pylist(), b["cells"].to_pylist(), strict=True):
+            c = np.frombuffer(cells, np.uint8)
+            total[x] = total[x] | c if x in total else c
+    for x, c in total.items():
+        yield pa.RecordBatch.from_arrays([int64(np.array([x])), pa.array([c.tobytes()], pa.binary())], ["id", "cells"])
+
+
+def _shingles(sizes: list[int], sent, key: str):
+    """(h, token, k, p, first): shingles of documents whose bit is set, and where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = large(key, lambda: np.frombuffer(sent.value, np.uint8))
+        for b in batches:
+            docs = as_bytes(b["b"])
+            for i, j in slices(docs):
+                words = Words(docs[i:j], NOT_ALNUM, True)
+                for k in sizes:
+                    g = words.grams(k)
+                    at = g >> np.uint64(64 - BITS)
+                    p = np.flatnonzero(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                    doc = np.searchsorted(words.last, p, side="right")
+                    ok = p + k <= words.last[doc]
+                    p, doc = p[ok], doc[ok]
+                    yield pa.RecordBatch.from_arrays([b["h"].take(pa.array(doc + i)), int64(g[p]), pa.array(np.full(len(p), k, np.int32)), pa.array(p - words.first[doc]), pa.array((words.last - words.first)[doc])], ["h", "token", "k", "p", "n_words"])
+
+    return run
+
+
+def _said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each candidate stretch of a document."""
+    for b in batches:
+        for h, text, some in zip(b["h"].to_pylist(), as_bytes(b["b"]), b["some"], strict=True):
+            words = Words([text], NOT_ALNUM, True)
+            s, m = (some.values.field(x).to_numpy() for x in range(2))
+            said = [b" ".join(words.bytes[words.start[q] : words.end[q]].tobytes() for q in range(x, x + n)) for x, n in zip(s.tolist(), m.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([h] * len(s), pa.binary()), pa.array(s), pa.array(s + m), pa.array(said, pa.binary())], ["h", "s", "e", "window"])
+
+
+def _n_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        docs = as_bytes(b["b"])
+        n = np.concatenate([w.last - w.first for i, j in slices(docs) for w in [Words(docs[i:j], NOT_ALNUM, True)]]) if docs else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([b["id"], b["h"], int64(n)], ["id", "h", "n_words"])
+
+
+def _by_tables(d: DataFrame, windows: DataFrame, size: int, shingle: int, kind: str) -> DataFrame:
+    """id, n_words, ranges and items of each document, for benchmarks of any size."""
+    spark = d.sparkSession
+    sizes = sorted({min(x, shingle) for x in range(1, size + 1)})
+    d = d.withColumn("h", F.unhex(F.md5(F.coalesce("b", F.lit(b"")))))  # tells texts apart: equal texts are searched once
+    sketch = summed_sketch(d.select("b").mapInArrow(tidy(_rarity(sizes)), "id long, cells binary"))
+    prefix = cut(windows.select("window").mapInArrow(tidy(_prefix_tokens(shingle, sketch)), "token long, k int, at int, m int").distinct(), "benchmark-prefix")
+    bits = np.zeros(1 << BITS - 3, np.uint8)
+    for r in prefix.mapInArrow(tidy(_bit_blocks), "id long, cells binary").repartition("id").mapInArrow(tidy(_or_blocks), "id long, cells binary").toLocalIterator():
+        bits[r.id * CELLS : r.id * CELLS + len(r.cells)] = np.frombuffer(r.cells, np.uint8)
+    sent, key = spark.sparkContext.broadcast(bits.tobytes()), uuid.uuid4().hex
+    seen = d.mapInArrow(tidy(_shingles(sizes, sent, key)), "h binary, token long, k int, p long, n_words long")
+    start = F.col("p") - F.col("at")
+    found = seen.join(prefix, ["token", "k"]).where((start >= 0) & (start + F.col("m") <= F.col("n_words")))
+    found = found.select("h", start.alias("s"), F.col("m").cast("long").alias("m")).distinct()
+    lists = cut(found.groupBy("h").agg(F.collect_list(F.struct("s", "m")).alias("some"), F.max(F.col("s") + F.col("m")).alias("most")), "benchmark-candidates")
+    counts = cut(d.mapInArrow(tidy(_n_words), f"id {kind}, h binary, n_words long"), "benchmark-words")
+    texts = d.select("h", "b").join(lists.select("h"), "h", "left_semi").dropDuplicates(["h"])
+    said = texts.join(lists, "h").select("h", "b", "some").mapInArrow(tidy(_said), "h binary, s long, e long, window binary")
+    hits = said.join(windows, "window").groupBy("h").agg(F.collect_set(F.struct("s", "e")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    return counts.join(hits, "h", "left").select("id", "n_words", F.coalesce("ranges", none).alias("ranges"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = SIZE, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items_sha256, spans (hit runs of words) and contaminated."""
     bound_batches(docs.sparkSession)
@@ -187,30 +309,17 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("b"))
     windows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("binary").alias("b"))
     windows = cut(windows.mapInArrow(tidy(_item_windows(size)), "item string, window binary").groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items")), "benchmark-windows")
-    blocks = max(1, -(-windows.count() // block))
-
     out = f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<s:long,e:long>>"
-    parts = []
-    for n in range(blocks):
-        own = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == n)
-        rows = own.orderBy("window").collect()  # about block windows
+    if windows.count() > block:
+        found = _by_tables(d, windows, size, shingle, kind).mapInArrow(tidy(_union_length), out)
+    else:
+        rows = windows.orderBy("window").collect()  # block windows at most
         x = _Block([bytes(r.window) for r in rows], shingle)
         if len(x.tokens):
             df = d.select("b").mapInArrow(tidy(_count(x)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
             x.rank(np.array([r.token for r in df], np.int64).view(np.uint64), np.array([r.n for r in df], np.int64))
-        schema = "n_words long, ranges array<struct<s:long,e:long>>, items array<string>"
-        if blocks == 1:
-            # one Python stage: a second one would take a second worker process
-            hits = _hits(x, [r["items"] for r in rows], ["id"])
-            found = d.mapInArrow(tidy(lambda batches: _union_length(hits(batches))), out)
-        else:
-            keyed = d.withColumn("h", F.xxhash64("b"))
-            parts.append(keyed.mapInArrow(tidy(_hits(x, [r["items"] for r in rows], ["id", "h"])), f"id {kind}, h long, {schema}").withColumn("block", F.lit(n)))
-    if blocks > 1:
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.union(p)
-        both = found.groupBy("id", "h").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.sum((F.col("block") == 0).cast("int")).alias("times"))
-        found = both.withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select("id", "n_words", "ranges", "items").mapInArrow(tidy(_union_length), out)
+        # one Python stage: a second one would take a second worker process
+        hits = _hits(x, [r["items"] for r in rows], ["id"])
+        found = d.mapInArrow(tidy(lambda batches: _union_length(hits(batches))), out)
     found = found.withColumn("contaminated", F.col("n_hit") > 0)
     return found.withColumnRenamed("id", id_col)

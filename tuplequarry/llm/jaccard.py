@@ -76,7 +76,7 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield b, i, j, docs[i:j]
 
 
-def _cells(x: np.ndarray) -> list[np.ndarray]:
+def sketch_cells(x: np.ndarray) -> list[np.ndarray]:
     return [(mix(x, np.uint64(101 + r)) >> np.uint64(64 - WIDTH.bit_length() + 1)).astype(np.int64) for r in range(ROWS)]
 
 
@@ -89,7 +89,7 @@ def _summaries(shingle: int):
 
         def add() -> None:
             if waiting:
-                for r, c in enumerate(_cells(np.concatenate(waiting))):
+                for r, c in enumerate(sketch_cells(np.concatenate(waiting))):
                     sketch[r] += np.bincount(c, minlength=WIDTH).astype(np.int32)
                 waiting.clear()
 
@@ -122,7 +122,7 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([int64(np.array([x])), pa.array([c.tobytes()], pa.binary())], ["id", "cells"])
 
 
-def _sketch(blocks: DataFrame) -> bytes:
+def summed_sketch(blocks: DataFrame) -> bytes:
     """Adds the tasks' blocks; 128 blocks of 16,384 counters reach the driver, whatever the input."""
     schema = "id long, cells binary"
     some = blocks.select("id", "cells").repartition("id").mapInArrow(tidy(_add_blocks), schema)
@@ -141,7 +141,7 @@ class Orders:
     def often(self, x: np.ndarray) -> np.ndarray:
         """How many documents have each token, at most."""
         s = np.frombuffer(self.sketch, np.uint32).reshape(ROWS, WIDTH)
-        return np.minimum.reduce([s[r][c] for r, c in enumerate(_cells(x))])
+        return np.minimum.reduce([s[r][c] for r, c in enumerate(sketch_cells(x))])
 
     def key(self, x: np.ndarray, order: int, often: np.ndarray | None = None) -> np.ndarray:
         h = mix(x, np.uint64((17, 19, 23)[order]))
@@ -354,7 +354,7 @@ def _indexed(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
         raise TypeError(f"{id_col} must be of an integer type")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("b"))
     seen = cut(d.mapInArrow(tidy(_summaries(shingle)), "kind int, id long, n long, s1 long, s2 long, cells binary"), "jaccard-sets")
-    orders = Orders(_sketch(seen.where("kind = 1")))
+    orders = Orders(summed_sketch(seen.where("kind = 1")))
     own = seen.where("kind = 0").select("id", "n", "s1", "s2")
     classes = own.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     classes = cut(classes, "jaccard-classes")
