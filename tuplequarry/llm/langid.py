@@ -218,7 +218,7 @@ class Model:
             many = np.bincount(w.doc, minlength=n)
             lettered = np.bincount(w.doc, weights=w.alpha, minlength=n) > 0
             if count:
-                total *= np.minimum(1.0, SURE / np.maximum(many, 1))[:, None]
+                total = total * np.minimum(1.0, SURE / np.maximum(many, 1))[:, None]  # no words at all make counts, not sums
                 p = np.exp(total - total.max(axis=1, keepdims=True))
                 best = p.argmax(axis=1)
                 share = p.max(axis=1) / p.sum(axis=1)
