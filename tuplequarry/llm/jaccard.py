@@ -17,10 +17,10 @@ lost, and groups of copies are never expanded into pairs.
   across components only, each pair of different components at least once. Pairs inside a component need no comparing.
   ``near_duplicate_links`` compares these too and gives all links.
 * Tokens that may be in more than ``hot`` documents (the sketch never counts too few) have their bucket dealt over
-  salts, each with a leader, and the leaders are led in their turn. Buckets of more than ``few`` documents that hold
-  several components are refined before pairs are formed: by (token, token of the second order's prefix), and if that
-  is still too large by the third order's too; pairs that link share all three. So documents that have one frequent
-  token in common and nothing else meet in no bucket.
+  salts, each with a leader, and the leaders are led in their turn. Documents in buckets of more than ``few`` that hold
+  several components are dealt anew before pairs are formed, by the tokens of the second order's prefix, those in buckets
+  that are still too large by the third order's, and then by both; pairs that link share all of them. So documents that
+  have one frequent token in common and nothing else meet in no bucket.
 * Sorted buckets are streamed. Members of a pair are brought to the leader's text, split over salts if there are many.
 
 Edge cases: null or empty texts, and those without words, have an empty set and link with nothing; texts of fewer words
@@ -44,7 +44,7 @@ from .common import SPACE, Words, as_bytes, bound_batches, components, cut, int6
 SHINGLE, PERCENT = 5, 75
 WIDTH, ROWS, CELLS = 1 << 20, 2, 1 << 14  # of the frequency sketch: counters in a row, rows, counters in a block
 SALT = 250  # pairs of one leader that a salt gets
-HOT, FEW = 200_000, 64  # documents of a token's bucket that one task streams; that are compared pair by pair
+HOT, FEW = 200_000, 128  # documents of a token's bucket that one task streams; that are compared pair by pair
 
 
 def sets_of(docs: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -380,22 +380,29 @@ def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def _refined(left: DataFrame, docs: DataFrame, shingle: int, percent: int, orders: Orders, few: int) -> DataFrame:
     """Members of the buckets (t) in which several components meet, in buckets of at most few where that can be."""
-    kinds = left.groupBy("t").agg((F.min("comp") < F.max("comp")).alias("several"), F.count("*").alias("size")).where("several")
-    left = cut(left.join(kinds.select("t", "size"), "t"), "jaccard-left")
-    small = left.where(F.col("size") <= few)
-    large = left.where(F.col("size") > few)
+
+    def meeting(x: DataFrame, name: str) -> DataFrame:
+        kinds = x.groupBy("t").agg((F.min("comp") < F.max("comp")).alias("several"), F.count("*").alias("size")).where("several")
+        return cut(x.join(kinds.select("t", "size"), "t"), name)
+
+    left = meeting(left, "jaccard-left")
+    small, large = left.where(F.col("size") <= few), left.where(F.col("size") > few)
     if not large.take(1):
         return small.drop("size")
     prefix = _prefix_table(docs, large.select("id").distinct(), shingle, percent, orders, "jaccard-large")
-    for column in ("p2", "p3"):
-        name = f"jaccard-by-{column}"
-        finer = large.drop("size").join(prefix.select("id", column), "id").withColumn("more", F.explode(column))
-        finer = finer.select(F.xxhash64("t", "more").alias("t"), "n", "pos", "id", "comp")
-        kinds = finer.groupBy("t").agg((F.min("comp") < F.max("comp")).alias("several"), F.count("*").alias("size")).where("several")
-        finer = cut(finer.join(kinds.select("t", "size"), "t"), name)
-        small = small.union(finer.where(F.col("size") <= few))
+    # Documents of large buckets, once each: pairs of them that link share a token of each other order's prefix, too.
+    for column, tokens in (("p2", [F.col("p2")]), ("p3", [F.col("p3")]), ("both", [F.col("p2"), F.col("p3")])):
+        some = large.select("id", "n", "comp").distinct().join(prefix, "id")
+        for k, x in enumerate(tokens):
+            some = some.withColumn(f"t{k}", F.explode(x))
+        names = [F.lit(column), *(F.col(f"t{k}") for k in range(len(tokens)))]
+        # without the first order's places there is no positional bound
+        finer = meeting(some.select(F.xxhash64(*names).alias("t"), "n", F.lit(0).alias("pos"), "id", "comp"), f"jaccard-by-{column}")
+        small = small.unionByName(finer.where(F.col("size") <= few))
         large = finer.where(F.col("size") > few)
-    return small.union(large).drop("size")
+        if not large.take(1):
+            return small.drop("size")
+    return small.unionByName(large).drop("size")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, hot: int = HOT, few: int = FEW) -> DataFrame:
