@@ -294,13 +294,13 @@ def bad_page_list(spark, sf_dir):
 
 
 # Rows of one size: 24 bytes of header, 40 of values and 4 of line pointer make 120 a page of 8,168.
-FIXED = relation("lineitem", "l_orderkey:int8 l_partkey:int8 l_suppkey:int8 l_quantity:float8 l_tax:float8")
+FIXED = relation("lineitem_fixed", "l_orderkey:int8 l_partkey:int8 l_suppkey:int8 l_quantity:float8 l_tax:float8")
 _FIXED_SQL = "select l_orderkey, l_partkey, l_suppkey, l_quantity, l_tax, (row_number() over (order by l_orderkey, l_partkey, l_suppkey, l_quantity, l_tax) - 1) // 120 as page from lineitem"
 
 
 def _fixed(spark: SparkSession, sf_dir: str) -> str:
     names = [c.name for c in FIXED.columns]
-    encoded(spark, sf_dir, FIXED, order=names)
+    encoded(spark, sf_dir, FIXED, order=names, source="lineitem")
     return _damaged(spark, sf_dir, _every_fifth, "fixed_bad", FIXED)
 
 
