@@ -18,9 +18,10 @@ lost, and groups of copies are never expanded into pairs.
   ``near_duplicate_links`` compares these too and gives all links.
 * Tokens that may be in more than ``hot`` documents (the sketch never counts too few) have their bucket dealt over
   salts, each with a leader, and the leaders are led in their turn. Documents in buckets of more than ``few`` that hold
-  several components are dealt anew before pairs are formed, by the tokens of the second order's prefix, those in buckets
-  that are still too large by the third order's, and then by both; pairs that link share all of them. So documents that
-  have one frequent token in common and nothing else meet in no bucket.
+  several components are dealt anew before pairs are formed, by the tokens of the second order's prefix, and those in
+  buckets that are still too large by the third order's; pairs that link share all of them. So documents that have one
+  frequent token in common and nothing else meet in no bucket. More than ``few`` documents of different components that
+  share tokens of all three prefixes, as unlike ones with a long rare passage may, are still compared pair by pair.
 * Sorted buckets are streamed. Members of a pair are brought to the leader's text, split over salts if there are many.
 
 Edge cases: null or empty texts, and those without words, have an empty set and link with nothing; texts of fewer words
@@ -44,7 +45,7 @@ from .common import SPACE, Words, as_bytes, bound_batches, components, cut, int6
 SHINGLE, PERCENT = 5, 75
 WIDTH, ROWS, CELLS = 1 << 20, 2, 1 << 14  # of the frequency sketch: counters in a row, rows, counters in a block
 SALT = 250  # pairs of one leader that a salt gets
-HOT, FEW = 200_000, 128  # documents of a token's bucket that one task streams; that are compared pair by pair
+HOT, FEW = 200_000, 4096  # documents of a token's bucket that one task streams; that are compared pair by pair
 
 
 def sets_of(docs: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -391,13 +392,10 @@ def _refined(left: DataFrame, docs: DataFrame, shingle: int, percent: int, order
         return small.drop("size")
     prefix = _prefix_table(docs, large.select("id").distinct(), shingle, percent, orders, "jaccard-large")
     # Documents of large buckets, once each: pairs of them that link share a token of each other order's prefix, too.
-    for column, tokens in (("p2", [F.col("p2")]), ("p3", [F.col("p3")]), ("both", [F.col("p2"), F.col("p3")])):
-        some = large.select("id", "n", "comp").distinct().join(prefix, "id")
-        for k, x in enumerate(tokens):
-            some = some.withColumn(f"t{k}", F.explode(x))
-        names = [F.lit(column), *(F.col(f"t{k}") for k in range(len(tokens)))]
+    for column in ("p2", "p3"):
+        some = large.select("id", "n", "comp").distinct().join(prefix.select("id", F.explode(column).alias("more")), "id")
         # without the first order's places there is no positional bound
-        finer = meeting(some.select(F.xxhash64(*names).alias("t"), "n", F.lit(0).alias("pos"), "id", "comp"), f"jaccard-by-{column}")
+        finer = meeting(some.select(F.xxhash64(F.lit(column), "more").alias("t"), "n", F.lit(0).alias("pos"), "id", "comp"), f"jaccard-by-{column}")
         small = small.unionByName(finer.where(F.col("size") <= few))
         large = finer.where(F.col("size") > few)
         if not large.take(1):
