@@ -147,7 +147,7 @@ def _find_anchors(lengths: tuple[int, ...]):
         for b in batches:
             docs, ids = as_bytes(b["b"]), b["doc"].to_numpy()
             size = np.fromiter(map(len, docs), np.int64, len(docs))
-            parts = [[x + i, *y] for i, j in slices(docs, 1 << 19) for x, *y in [_anchors(docs[i:j], lengths)]]
+            parts = [[x + i, *y] for i, j in slices(docs, 1 << 17) for x, *y in [_anchors(docs[i:j], lengths)]]
             if not parts:
                 continue
             doc, at, near, far, hop, beyond, code, context = (np.concatenate(x) for x in zip(*parts, strict=True))
