@@ -5,7 +5,7 @@ import tracemalloc
 
 import pyarrow as pa
 
-from tuplequarry.llm import common, suffix_dedup
+from tuplequarry.llm import common, jaccard, suffix_dedup
 
 
 def batch(*names):
@@ -32,3 +32,10 @@ def test_batches_are_bounded_by_size(spark):
 
 def test_anchors():
     assert peak_mb(suffix_dedup._find_anchors((256, 400)), batch("doc", "b")) < 30
+
+
+def test_shingle_sets():
+    b, orders = batch("id", "b"), jaccard.Orders(bytes(4 * jaccard.ROWS * jaccard.WIDTH))
+    assert peak_mb(jaccard._summaries(5), b) < 40  # 8 MB of sketch, and what counting a part of it takes
+    assert peak_mb(jaccard._index(5, 75, orders, jaccard.HOT), b) < 20
+    assert peak_mb(jaccard._prefixes(5, 75, orders), b) < 20

@@ -98,7 +98,7 @@ def _summaries(shingle: int):
         for b, i, j, docs in _sliced(batches):
             sets = sets_of(docs, shingle)
             waiting += sets
-            if sum(map(len, waiting)) > 1 << 20:
+            if sum(map(len, waiting)) > 1 << 18:
                 add()
             n = np.fromiter(map(len, sets), np.int64, len(sets))
             s1 = np.array([mix(x, np.uint64(11)).sum(dtype=np.uint64) for x in sets], np.uint64)
