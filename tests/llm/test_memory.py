@@ -3,9 +3,10 @@
 import random
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 
-from tuplequarry.llm import common, jaccard, suffix_dedup
+from tuplequarry.llm import common, decontam, jaccard, suffix_dedup
 
 
 def batch(*names):
@@ -39,3 +40,12 @@ def test_shingle_sets():
     assert peak_mb(jaccard._summaries(5), b) < 40  # 8 MB of sketch, and what counting a part of it takes
     assert peak_mb(jaccard._index(5, 75, orders, jaccard.HOT), b) < 20
     assert peak_mb(jaccard._prefixes(5, 75, orders), b) < 20
+
+
+def test_benchmark_windows():
+    b = batch("id", "b")
+    words = b["b"][0].as_py().split()
+    block = decontam._Block([b" ".join(words[i : i + 10]) for i in range(300)], 3)
+    assert peak_mb(decontam._count(block), b) < 20
+    block.rank(block.tokens, np.ones(len(block.tokens), np.int64))
+    assert peak_mb(decontam._hits(block, [["a"]] * 300, ["id"]), b) < 20
