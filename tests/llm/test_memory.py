@@ -1,7 +1,9 @@
 """What a Python worker takes at once, beside an executor's heap: it follows the slice, not the Arrow batch or the table."""
 
 import random
+import re
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,18 @@ def test_batches_are_bounded_by_size(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 2 << 20
 
 
+def test_driver_gives_back_what_its_jvm_has_freed(spark):
+    jvm = spark._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup")
+    mb = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", status.read_text())[1]) / 1024
+    held = [jvm.java.util.zip.Deflater() for _ in range(1500)]  # over 100 KB outside the heap, each
+    for x in held[:-1]:
+        x.end()
+    before = mb()
+    common.cut(spark.range(1), "trimmed")
+    assert mb() < before - 75
+
+
 def test_anchors():
     assert peak_mb(suffix_dedup._find_anchors((256, 400)), batch("doc", "b")) < 30
 
