@@ -48,3 +48,12 @@ def test_repeats_and_none(spark):
     assert sorted(r.verdict for r in out.collect()) == ["block"] * 3
     assert match_urls(df.limit(0), rules_frame(spark)).count() == 0
     assert {r.verdict for r in match_urls(df, rules_frame(spark, [])).collect()} == {"allow"}
+
+
+def test_rules_are_the_contracts(spark):
+    """Written out here again: the other tests take RULES as they are."""
+    assert sorted(RULES) == [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("example.net", "/de/8", "block"), ("net", "/de/", "allow"), ("org", "/es/", "block")]
+    urls = ["http://a.net/de/x", "http://example.net/de/7", "http://b.example.net/de/81", "http://a.com/en/x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = sorted((r.page_id, r.rule, r.verdict) for r in match_urls(df, rules_frame(spark)).collect())
+    assert got == [(0, "net/de/", "allow"), (1, "net/de/", "allow"), (2, "example.net/de/8", "block"), (3, "com/en/", "block")]
