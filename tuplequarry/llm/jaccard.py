@@ -46,6 +46,7 @@ SHINGLE, PERCENT = 5, 75
 WIDTH, ROWS, CELLS = 1 << 20, 2, 1 << 14  # of the frequency sketch: counters in a row, rows, counters in a block
 SALT = 250  # pairs of one leader that a salt gets
 HOT, FEW = 200_000, 4096  # documents of a token's bucket that one task streams; that are compared pair by pair
+PAIRS = 1 << 16  # candidate pairs that a worker holds before it hands them on
 
 
 def sets_of(docs: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -268,16 +269,26 @@ def _across(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
+        def handed(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([int64(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+
         def flush():
+            """A bucket's pairs grow with the square of its size, so they go on in parts."""
             t, *cols = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             found: list[tuple] = []
+            room = PAIRS
             at = np.append(np.append(0, np.flatnonzero(t[1:] != t[:-1]) + 1), len(t))
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if e - s > 1:
-                    found += pairs(*(x[s:e] for x in cols))
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 2
-            return pa.RecordBatch.from_arrays([int64(a), int64(b)], ["a", "b"])
+                    for p in pairs(*(x[s:e] for x in cols)):
+                        found.append(p)
+                        room -= len(p[0]) + 16  # small arrays cost more than their pairs
+                        if room <= 0:
+                            yield handed(found)
+                            found, room = [], PAIRS
+            if found:
+                yield handed(found)
 
         for b in batches:
             if not b.num_rows:
@@ -286,12 +297,12 @@ def _across(percent: int):
             cut_at = np.searchsorted(cols[0], cols[0][-1])  # where its last token begins
             if cut_at:
                 held.append(tuple(x[:cut_at] for x in cols))
-                yield flush()
+                yield from flush()
             elif held and held[-1][0][-1] != cols[0][0]:
-                yield flush()
+                yield from flush()
             held.append(tuple(x[cut_at:] for x in cols))
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
