@@ -168,3 +168,43 @@ def test_layouts():
     assert [c.name for c in catalog_table("pg_class", 11).columns][0] == "relname"
     t = Table("x", (Column("a", 23),), enums={5: {6: "l"}}, primary_key=("a",))
     assert Table.from_json(t.to_json()) == t
+
+
+def plain_pglz(raw):
+    """The encoder, byte by byte."""
+    out, control, flags, n, at, seen = bytearray(), -1, 0, 8, 0, {}
+    while at < len(raw):
+        if n == 8:
+            if control >= 0:
+                out[control] = flags
+            control, flags, n = len(out), 0, 0
+            out.append(0)
+        back, size = at - seen.get(raw[at : at + 3], -5000), 1
+        if at + 3 <= len(raw) and back < 4096:
+            size = 3
+            while at + size < len(raw) and size < 273 and raw[at + size - back] == raw[at + size]:
+                size += 1
+            flags |= 1 << n
+            out += bytes([back >> 4 & 0xF0 | (min(size, 18) - 3), back & 0xFF]) + (bytes([size - 18]) if size >= 18 else b"")
+        else:
+            out.append(raw[at])
+        for k in range(at, at + size):
+            seen[raw[k : k + 3]] = k
+        at, n = at + size, n + 1
+    if control >= 0:
+        out[control] = flags
+    return bytes(out)
+
+
+def test_pglz_of_many_values():
+    r = random.Random(4)
+    texts = [b"", b"a", b"abc", b"", b"a" * 3000, b"ab" * 700, *(bytes(r.choice(b"abc") for _ in range(r.randrange(700))) for _ in range(60)), bytes(r.randrange(256) for _ in range(9000)), b"x" * 17 + b"y" + b"x" * 300]
+    assert enc.pglz_many(texts) == [plain_pglz(x) for x in texts] == [enc.pglz(x) for x in texts]
+    assert enc.pglz_many([]) == []
+    for x in texts:
+        z = plain_pglz(x)
+        assert pglz_decompress(z, len(x)) == x
+        assert pglz_decompress(z + b"rest", len(x)) == x  # what follows the whole text does not count
+        if x:
+            with pytest.raises(Corrupt):
+                pglz_decompress(z, len(x) + 1)
